@@ -26,7 +26,7 @@ def _used(text: str) -> list[str]:
 
     def visit(part: str) -> None:
         for name in CTES:
-            if name not in used and re.search(rf"\b{name}\b", part):
+            if name not in used and re.search(rf"(FROM|JOIN|,)\s+{name}\b", part):
                 visit(CTES[name])
                 if name not in used:
                     used.append(name)
@@ -182,3 +182,32 @@ def min_labels(edge_table: str, node_table: str, rounds: int, prefix: str) -> st
             f"GROUP BY s.node, s.label) s JOIN {p} j ON j.node = s.label GROUP BY s.node)"
         )
     return ",\n".join(parts)
+
+
+def register(parts: str) -> None:
+    """Register the expressions of a generated chain one by one."""
+    for part in re.split(r",\n(?=\w+ AS MATERIALIZED)", parts):
+        name, sql = part.split(" AS MATERIALIZED ", 1)
+        cte(name, sql.strip()[1:-1])
+
+
+cte("qents", "SELECT DISTINCT q_id, term AS node FROM qterms WHERE term IN (SELECT entity FROM ments)")
+cte("hop0", "SELECT q_id, node, 0 AS hop FROM qents")
+cte("hop1", """
+    SELECT DISTINCT h.q_id, e.dst AS node, 1 AS hop FROM hop0 h JOIN both_ways e ON e.src = h.node
+    WHERE (h.q_id, e.dst) NOT IN (SELECT (q_id, node) FROM hop0)""")
+cte("hop2", """
+    SELECT DISTINCT h.q_id, e.dst AS node, 2 AS hop FROM hop1 h JOIN both_ways e ON e.src = h.node
+    WHERE (h.q_id, e.dst) NOT IN (SELECT (q_id, node) FROM hop0)
+      AND (h.q_id, e.dst) NOT IN (SELECT (q_id, node) FROM hop1)""")
+register(propagation("both_ways", 3, "lp"))
+cte("member", "SELECT node, community FROM lp3")
+cte("upper_edges", """
+    SELECT a.community AS src, b.community AS dst, sum(weight)::DOUBLE AS weight
+    FROM both_ways JOIN member a ON a.node = src JOIN member b ON b.node = dst
+    WHERE a.community <> b.community GROUP BY ALL""")
+register(propagation("upper_edges", 3, "up"))
+cte("levels", """
+    SELECT node, 0::INTEGER AS level, community FROM member
+    UNION ALL
+    SELECT m.node, 1, coalesce(u.community, m.community) FROM member m LEFT JOIN up3 u ON u.node = m.community""")

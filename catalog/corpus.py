@@ -70,12 +70,12 @@ FROM pages"""
 SQL["exact_dedup"] = with_ctes("SELECT * FROM udocs")
 
 cte("shingled", r"""
-    SELECT doc_id, list_distinct(list_transform(g, x -> ('0x' || md5(x)[1:8])::BIGINT)) AS s
-    FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 1, 1)), i -> array_to_string(t[i : i + 2], ' '))) AS g
+    SELECT doc_id, list_distinct(list_transform(g, lambda x: ('0x' || md5(x)[1:8])::BIGINT)) AS s
+    FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i : i + 2], ' '))) AS g
           FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM udocs))
     WHERE len(g) > 0""")
 cte("sigs", """
-    SELECT doc_id, list_transform(range(0, 16), i -> list_min(list_transform(s, h ->
+    SELECT doc_id, list_transform(range(0, 16), lambda i: list_min(list_transform(s, lambda h:
         (h * (1000003 * (2 * i + 1)) + 7919 * (i + 1)) % 2147483647))) AS sig FROM shingled""")
 cte("bands", """
     SELECT doc_id, b || '-' || array_to_string(sig[b * 4 + 1 : b * 4 + 4], '-') AS bucket

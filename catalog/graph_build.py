@@ -72,8 +72,8 @@ GROUP BY ALL""")
 SQL["gazetteer_mentions"] = with_ctes(r"""
 SELECT entity, chunk_id, count(*) AS n FROM (
   SELECT chunk_id, unnest(t) AS entity FROM chunk_toks
-  UNION ALL SELECT chunk_id, unnest(list_transform(range(1, len(t)), i -> t[i] || ' ' || t[i + 1])) FROM chunk_toks
-  UNION ALL SELECT chunk_id, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), i -> t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM chunk_toks)
+  UNION ALL SELECT chunk_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM chunk_toks
+  UNION ALL SELECT chunk_id, unnest(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM chunk_toks)
 WHERE entity IN (
   SELECT array_to_string(regexp_extract_all(lower(name), '\p{L}+'), ' ') FROM (
     SELECT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name FROM pages UNION ALL SELECT p_name FROM part))
@@ -87,11 +87,13 @@ SELECT entity, arg_min(form, (-n, form)) AS form, count(*) AS n_forms, sum(n)::B
   FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS form FROM chunks) WHERE length(form) >= 5 GROUP BY ALL)
 WHERE entity <> '' GROUP BY entity""")
 SQL["entity_resolve"] = with_ctes(
-    "SELECT node AS entity, label AS canonical FROM lab8",
-    """names AS MATERIALIZED (SELECT DISTINCT entity AS node, length(entity) AS l FROM ments),
+    "SELECT node AS entity, label AS canonical FROM lab16",
+    # DuckDB compares bytes, so accented letters are mapped to single bytes first.
+    """names AS MATERIALIZED (SELECT DISTINCT entity AS node, length(entity) AS l,
+  translate(entity, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01') AS b FROM ments),
 close AS MATERIALIZED (SELECT a.node AS src, b.node AS dst FROM names a JOIN names b
-  ON a.l BETWEEN b.l - 1 AND b.l + 1 AND a.node <> b.node WHERE levenshtein(a.node, b.node) = 1),
-""" + min_labels("close", "names", 8, "lab"),
+  ON a.l BETWEEN b.l - 1 AND b.l + 1 AND a.node <> b.node WHERE levenshtein(a.b, b.b) = 1),
+""" + min_labels("close", "names", 16, "lab"),
 )
 SQL["cooccurrence_edges"] = with_ctes("SELECT src, dst, weight FROM edges")
 SQL["pmi_edges"] = with_ctes("""

@@ -1,2 +1,213 @@
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import base
+from catalog.base import cte, hits_out, with_ctes
+from catalog.graph import ppr_rounds
+from lodeweave.operators import context, corpus, graph_build, iterate, retrieve, vectors
+from lodeweave.session import cut
+from lodeweave.sources import readers
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def _vectors(spark, d):
+    v = readers.read_vectors(spark, d).select(F.col("vec_id").alias("id"), "embedding")
+    return v.select(F.col("id").alias("q_id"), "embedding"), v
+
+
+def _tfidf(spark, d, k=10):
+    c = base.chunks(spark, d)
+    return retrieve.tfidf(base.questions(spark, d), retrieve.postings(c), retrieve.corpus_stats(c), k)
+
+
+def graph_parts(spark, d):
+    """Both-way entity edges and mention weights, written once and read by several joins."""
+    c = base.chunks(spark, d)
+    m = cut(base.mentions(spark, d))
+    return cut(iterate.symmetric(graph_build.cooccur(m))), cut(graph_build.mention_edges(m, c)), m
+
+
+def reports(spark, d):
+    edges, _, m = graph_parts(spark, d)
+    return context.community_reports(iterate.communities(edges, 3), m, base.chunks(spark, d))
+
+
+def bm25_topk(spark, d):
+    return hits_out(base.bm25_hits(spark, d))
+
+
+def tfidf_cosine_topk(spark, d):
+    return hits_out(_tfidf(spark, d))
+
+
+def vector_topk(spark, d):
+    q, v = _vectors(spark, d)
+    return hits_out(vectors.knn(q, v, 5, exclude_self=True), "id")
+
+
+def ivf_topk(spark, d):
+    q, v = _vectors(spark, d)
+    return hits_out(vectors.ivf(q, v, 5), "id")
+
+
+def lsh_topk(spark, d):
+    q, v = _vectors(spark, d)
+    return hits_out(vectors.lsh(q, v, 5), "id")
+
+
+def rrf_fuse(spark, d):
+    return hits_out(retrieve.fuse([base.bm25_hits(spark, d), _tfidf(spark, d)], 10))
+
+
+def filtered_topk(spark, d):
+    c = retrieve.filtered(base.chunks(spark, d), F.col("lang") == "en")
+    return hits_out(retrieve.bm25(base.questions(spark, d), retrieve.postings(c), retrieve.corpus_stats(c), 5))
+
+
+def hash_embed(spark, d):
+    docs = base.docs(spark, d)
+    n = docs.agg(F.count("*").alias("n")).scalar()
+    out = retrieve.hash_embed(docs, retrieve.term_rarity(docs), n, "doc_id")
+    return (
+        out.select("doc_id", F.posexplode("embedding").alias("bucket", "w"))
+        .where("w <> 0")
+        .select("doc_id", "bucket", F.round("w", 6).alias("w"))
+    )
+
+
+def parent_expand(spark, d):
+    return retrieve.expand(base.bm25_hits(spark, d, 5), base.chunks(spark, d), 1)
+
+
+def hits_dedup(spark, d):
+    return hits_out(retrieve.collapse(base.bm25_hits(spark, d)).drop("chunk_id"), "doc_id")
+
+
+def mmr_rerank(spark, d):
+    c = base.chunks(spark, d)
+    n = c.agg(F.count("*").alias("n")).scalar()
+    hits = cut(base.bm25_hits(spark, d, 30))
+    wanted = c.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    vec = retrieve.hash_embed(wanted, retrieve.term_rarity(c), n)
+    return hits_out(vectors.mmr(hits, vec, 5))
+
+
+def local_graph_search(spark, d):
+    edges, weights, _ = graph_parts(spark, d)
+    return hits_out(retrieve.local_search(base.questions(spark, d), edges, weights))
+
+
+def ppr_graph_search(spark, d):
+    edges, weights, _ = graph_parts(spark, d)
+    return hits_out(retrieve.ppr_search(base.questions(spark, d), edges, weights))
+
+
+def global_graph_search(spark, d):
+    out = retrieve.global_search(base.questions(spark, d), cut(reports(spark, d)))
+    return out
+
+
+for _f in (
+    bm25_topk, tfidf_cosine_topk, vector_topk, ivf_topk, lsh_topk, rrf_fuse, filtered_topk, hash_embed,
+    parent_expand, hits_dedup, mmr_rerank, local_graph_search, ppr_graph_search, global_graph_search,
+):
+    QUERIES[_f.__name__] = _f
+
+_RANK = "row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id)::INTEGER"
+cte("cw", "SELECT term, chunk_id, (1 + ln(tf)) * ln(1 + n / df) AS w FROM posts JOIN chunk_df USING (term), stats")
+cte("cnorm", "SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM cw GROUP BY chunk_id")
+cte("qw", r"""
+    SELECT q_id, term, (1 + ln(count(*))) * ln(1 + any_value(n) / any_value(df)) AS qw
+    FROM (SELECT q_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM qs)
+    JOIN chunk_df USING (term), stats GROUP BY ALL""")
+cte("tfidf_hits", f"""
+    SELECT * FROM (SELECT *, {_RANK} AS rank, 'tfidf' AS via FROM (
+      SELECT q_id, chunk_id, round(sum(w * qw) / (any_value(norm) * any_value(qn)), 6) AS score
+      FROM qw JOIN cw USING (term) JOIN cnorm USING (chunk_id)
+      JOIN (SELECT q_id, sqrt(sum(qw * qw)) AS qn FROM qw GROUP BY q_id) USING (q_id) GROUP BY q_id, chunk_id))
+    WHERE rank <= 10""")
+
+SQL["bm25_topk"] = with_ctes("SELECT q_id, chunk_id, score, rank, via FROM bm25_hits")
+SQL["tfidf_cosine_topk"] = with_ctes("SELECT q_id, chunk_id, score, rank, via FROM tfidf_hits")
+SQL["vector_topk"] = """
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT q_id, id, score, rank, 'vector' AS via FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id)::INTEGER AS rank FROM (
+    SELECT a.id AS q_id, b.id AS id,
+           round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score
+    FROM v a JOIN v b ON a.id <> b.id)) WHERE rank <= 5"""
+SQL["rrf_fuse"] = with_ctes(f"""
+SELECT q_id, chunk_id, score, rank, via FROM (
+  SELECT *, {_RANK} AS rank FROM (
+    SELECT q_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, string_agg(DISTINCT via, '+' ORDER BY via) AS via
+    FROM (SELECT q_id, chunk_id, rank, via FROM bm25_hits UNION ALL SELECT q_id, chunk_id, rank, via FROM tfidf_hits)
+    GROUP BY q_id, chunk_id)) WHERE rank <= 10""")
+SQL["filtered_topk"] = with_ctes(f"""
+SELECT * FROM (SELECT q_id, chunk_id, score, {_RANK} AS rank, 'bm25' AS via FROM (
+  SELECT q_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
+         (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  FROM qterms JOIN en_posts USING (term) JOIN (SELECT term, count(*) AS df FROM en_posts GROUP BY term) USING (term),
+       (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM chunk_toks JOIN chunks USING (chunk_id) WHERE lang = 'en')
+  GROUP BY q_id, chunk_id)) WHERE rank <= 5""",
+  "en_posts AS MATERIALIZED (SELECT * FROM posts WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang = 'en'))")
+SQL["hash_embed"] = with_ctes(r"""
+SELECT doc_id, bucket::INTEGER AS bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM (
+  SELECT doc_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS bucket,
+         sum((1 + ln(tf)) * ln(1 + (SELECT count(*) FROM udocs) / df)) AS w
+  FROM dt JOIN (SELECT term, count(*) AS df FROM dt GROUP BY term) USING (term) GROUP BY ALL)""",
+  r"dt AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM udocs) GROUP BY ALL)")
+SQL["parent_expand"] = with_ctes("""
+SELECT h.q_id, h.rank, h.chunk_id, o.off::INTEGER AS "offset", n.chunk_id AS near_id, n.text
+FROM bm25_hits h JOIN chunks c ON c.chunk_id = h.chunk_id, (SELECT unnest([-1, 0, 1]) AS off) o
+JOIN chunks n ON n.doc_id = c.doc_id AND n.chunk_no = c.chunk_no + o.off WHERE h.rank <= 5""")
+SQL["hits_dedup"] = with_ctes("""
+SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY rank)::INTEGER AS rank, via FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id, doc_id ORDER BY rank) AS r
+  FROM (SELECT *, split_part(chunk_id, ':', 1)::BIGINT AS doc_id FROM bm25_hits)) WHERE r = 1""")
+cte("local_hits", f"""
+    SELECT * FROM (SELECT q_id, chunk_id, score, {_RANK} AS rank, 'local' AS via FROM (
+      SELECT q_id, chunk_id, round(sum(weight / (1 + hop)), 6) AS score
+      FROM (SELECT * FROM hop0 UNION ALL SELECT * FROM hop1) h JOIN ment_weights m ON m.entity = h.node GROUP BY q_id, chunk_id))
+    WHERE rank <= 10""")
+SQL["local_graph_search"] = with_ctes("SELECT q_id, chunk_id, score, rank, via FROM local_hits")
+SQL["ppr_graph_search"] = with_ctes(f"""
+SELECT * FROM (SELECT q_id, chunk_id, score, {_RANK} AS rank, 'ppr' AS via FROM (
+  SELECT q_id, chunk_id, round(sum(mass * weight), 6) AS score FROM m3 JOIN ment_weights w ON w.entity = m3.node GROUP BY q_id, chunk_id))
+WHERE rank <= 10""", ppr_rounds(3, 0.5))
+
+cte("seen", "SELECT community, entity, chunk_id, n FROM ments JOIN member ON node = entity")
+cte("central", """
+    SELECT community, chunk_id, text FROM (
+      SELECT community, chunk_id, row_number() OVER (PARTITION BY community ORDER BY sum(n) DESC, chunk_id) AS r
+      FROM seen GROUP BY community, chunk_id) JOIN chunks USING (chunk_id) WHERE r <= 3""")
+cte("report_entities", """
+    SELECT community, string_agg(entity, ', ' ORDER BY r) AS entities FROM (
+      SELECT community, entity, row_number() OVER (PARTITION BY community ORDER BY sum(n) DESC, entity) AS r
+      FROM seen GROUP BY community, entity) WHERE r <= 5 GROUP BY community""")
+cte("report_terms", r"""
+    SELECT * FROM (SELECT community, term, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS r FROM (
+      SELECT community, term, count(*) AS n FROM (SELECT community, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM central)
+      GROUP BY ALL)) WHERE r <= 20""")
+cte("sentences", r"""
+    SELECT community, chunk_id, i AS pos, ss[i] AS sentence FROM (
+      SELECT community, chunk_id, ss, unnest(range(1, len(ss) + 1)) AS i
+      FROM (SELECT community, chunk_id, string_split_regex(text, '[.!?]+ *') AS ss FROM central)) WHERE trim(ss[i]) <> ''""")
+cte("report_lines", r"""
+    SELECT community, string_agg(sentence, '. ' ORDER BY r) AS summary FROM (
+      SELECT community, sentence, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, chunk_id, pos) AS r
+      FROM (SELECT DISTINCT community, chunk_id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '\p{L}+')) AS node FROM sentences)
+      JOIN member USING (community, node) GROUP BY community, chunk_id, pos, sentence) WHERE r <= 2 GROUP BY community""")
+cte("report_rows", """
+    SELECT community, n_nodes, entities, coalesce(summary, '') AS summary
+    FROM (SELECT community, count(*) AS n_nodes FROM member GROUP BY community)
+    JOIN report_entities USING (community) LEFT JOIN report_lines USING (community)""")
+SQL["global_graph_search"] = with_ctes("""
+SELECT q_id, string_agg(community, ',' ORDER BY rank) AS communities, max(score) AS best_score,
+       string_agg(summary, chr(10) ORDER BY rank) AS answer
+FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, community) AS rank FROM (
+    SELECT q_id, community, round(sum(n / total), 6) AS score
+    FROM report_terms JOIN qterms USING (term) JOIN (SELECT community, sum(n) AS total FROM report_terms GROUP BY community) USING (community)
+    GROUP BY ALL)) JOIN report_rows USING (community) WHERE rank <= 3 GROUP BY q_id""")

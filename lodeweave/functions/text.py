@@ -46,10 +46,23 @@ def decode_entities(col: Column) -> Column:
     return col
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row.
+
+    A lambda body that names an outer expression evaluates it again for each element;
+    as the variable of an enclosing one-element transform it is evaluated once.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def ngrams(arr: Column, n: int) -> Column:
     """Space-joined n-grams of an array of strings."""
-    count = F.size(arr) - F.lit(n - 1)
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(arr, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def windows(a: Column) -> Column:
+        count = F.size(a) - F.lit(n - 1)
+        return F.when(
+            count > 0,
+            F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(a, i, n), " ")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(arr, windows)

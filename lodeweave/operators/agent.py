@@ -91,8 +91,7 @@ def iterate(
         if r == rounds:
             break
         held = (
-            post.join(fresh.select("chunk_id").distinct(), "chunk_id", "left_semi")
-            .join(fresh.select("q_id", "chunk_id"), "chunk_id")
+            post.join(fresh.select("q_id", "chunk_id"), "chunk_id")
             .groupBy("q_id", "term")
             .agg(F.count("*").alias("chunks"), F.sum("tf").alias("tf"))
             .join(asked, ["q_id", "term"], "left_anti")

@@ -60,11 +60,11 @@ def shingle_hashes(text: Column, width: int) -> Column:
 def minhash(hashes: Column, k: int) -> Column:
     """``k`` min-hashes of an array of 32-bit hashes (Broder 1997)."""
 
-    def one(i: int) -> Column:
+    def one(hs: Column, i: int) -> Column:
         a, b = 1000003 * (2 * i + 1), 7919 * (i + 1)
-        return F.array_min(F.transform(hashes, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME)))
+        return F.array_min(F.transform(hs, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME)))
 
-    return F.array(*[one(i) for i in range(k)])
+    return tx.let(hashes, lambda h: F.array(*[one(h, i) for i in range(k)]))
 
 
 def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
@@ -79,17 +79,14 @@ def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float
     if k % bands:
         raise ValueError("k must be a multiple of bands")
     rows = k // bands
-    sets = cut(
-        docs.select("doc_id", shingle_hashes(F.col("text"), width).alias("s"))
-        .where(F.size("s") > 0)
-        .withColumn("sig", minhash(F.col("s"), k))
-    )
+    # Each step is cut: its array is read several times by the next one and would be computed anew.
+    sets = cut(docs.select("doc_id", shingle_hashes(F.col("text"), width).alias("s")).where(F.size("s") > 0))
+    sigs = cut(sets.select("doc_id", minhash(F.col("s"), k).alias("sig")))
     buckets = F.transform(
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.concat_ws("-", b.cast("string"), F.slice(F.col("sig"), b * rows + 1, rows).cast("array<string>")),
     )
-    active = sets.select("doc_id", F.explode(buckets).alias("bucket"))
-    sets = sets.select("doc_id", "s")
+    active = sigs.select("doc_id", F.explode(buckets).alias("bucket"))
     found = None
     while True:
         heads = (
@@ -144,14 +141,15 @@ def chunk(docs: DataFrame, size: int = 64, stride: int = 48) -> DataFrame:
     """
     if not 0 < stride <= size:
         raise ValueError("need 0 < stride <= size")
-    n = F.size("p")
-    last = F.greatest(F.ceil((n - size) / F.lit(stride)), F.lit(0)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(F.col("p"), i * stride + 1, size), " "))
+
+    def windows(p: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(p) - size) / F.lit(stride)), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(p, i * stride + 1, size), " "))
+
     keep = [c for c in ("lang", "source") if c in docs.columns]
     return (
-        docs.select("doc_id", *keep, tx.pieces("text").alias("p"))
-        .where(n > 0)
-        .select("doc_id", *keep, F.posexplode(windows).alias("chunk_no", "text"))
+        docs.where(F.col("text").rlike(r"\S"))
+        .select("doc_id", *keep, F.posexplode(tx.let(tx.pieces("text"), windows)).alias("chunk_no", "text"))
         .select(chunk_id(), "doc_id", "chunk_no", *keep, "text")
     )
 

@@ -20,15 +20,13 @@ PATTERNS = {
 
 def typed_mentions(chunks: DataFrame, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
     """``(entity, kind, chunk_id, n)`` for every pattern match; the entity is ``kind:match``."""
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
-                lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), F.lower(m).alias("value")),
-            )
-            for kind, pattern in patterns.items()
-        ]
-    )
+    def matches(kind: str, pattern: str):
+        return F.transform(
+            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
+            lambda m: F.struct(F.lit(kind).alias("kind"), F.lower(m).alias("value")),
+        )
+
+    found = F.concat(*[matches(kind, pattern) for kind, pattern in patterns.items()])
     return (
         chunks.select("chunk_id", F.explode(found).alias("m"))
         .groupBy(F.concat_ws(":", "m.kind", "m.value").alias("entity"), F.col("m.kind").alias("kind"), "chunk_id")
@@ -52,10 +50,9 @@ def gazetteer_mentions(chunks: DataFrame, names: DataFrame, max_n: int = 3) -> D
         .where("entity <> ''")
         .distinct()
     )
-    grams = F.concat(*[tx.ngrams(F.col("t"), n) for n in range(1, max_n + 1)])
+    grams = tx.let(tx.terms("text"), lambda t: F.concat(*[tx.ngrams(t, n) for n in range(1, max_n + 1)]))
     return (
-        chunks.select("chunk_id", tx.terms("text").alias("t"))
-        .select("chunk_id", F.explode(grams).alias("entity"))
+        chunks.select("chunk_id", F.explode(grams).alias("entity"))
         .join(keys, "entity", "left_semi")
         .groupBy("entity", "chunk_id")
         .agg(F.count("*").alias("n"))

@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, schema: str | None = None
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that has fewer splits than the session has cores, by its unique
+    ``keys``. Large tables have more splits than that and are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_documents(
     spark: SparkSession,
     sf_dir: str,
@@ -31,7 +38,7 @@ def read_documents(
         docs = docs.where(F.col("lang").isin(list(lang)))
     if source is not None:
         docs = docs.where(F.col("source").isin(list(source)))
-    return docs
+    return widen(docs, "doc_id")
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
