@@ -4,8 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import base, retrieval
 from catalog.base import with_ctes
-from lodeweave.operators import agent, ordered, retrieve
-from lodeweave.session import cut
+from lodeweave.operators import agent, ordered
 from lodeweave.sources import readers
 
 QUERIES: dict = {}
@@ -13,8 +12,8 @@ SQL: dict = {}
 
 
 def route_questions(spark, d):
-    c = base.chunks(spark, d)
-    return agent.route(base.questions(spark, d), retrieve.term_rarity(c), base.mentions(spark, d))
+    i = base.index(spark, d)
+    return agent.route(base.questions(spark, d), i["rarity"], i["mentions"])
 
 
 def decompose_questions(spark, d):
@@ -22,9 +21,8 @@ def decompose_questions(spark, d):
 
 
 def iterative_retrieve(spark, d):
-    c = base.chunks(spark, d)
-    post = cut(retrieve.postings(c))
-    return agent.iterate(base.questions(spark, d), post, cut(retrieve.corpus_stats(c)), 2, 5, 3)
+    i = base.index(spark, d)
+    return agent.iterate(base.questions(spark, d), i["postings"], i["stats"], 2, 5, 3, rarity=i["rarity"])
 
 
 def conversation_memory(spark, d):
@@ -47,13 +45,7 @@ def contextual_question(spark, d):
 
 
 def step_trace(spark, d):
-    edges, weights, _ = retrieval.graph_parts(spark, d)
-    return agent.trace(
-        {
-            "bm25": base.bm25_hits(spark, d),
-            "local": retrieve.local_search(base.questions(spark, d), edges, weights),
-        }
-    )
+    return agent.trace({"bm25": base.bm25_hits(spark, d), "local": retrieval.local_hits(spark, d)})
 
 
 for _f in (

@@ -11,7 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators import corpus, graph_build, retrieve
+from lodeweave.operators import corpus, retrieve
+from lodeweave.plans.build import Index
 from lodeweave.sources import readers
 
 CTES: dict[str, str] = {}
@@ -50,25 +51,28 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return corpus.dedup(readers.read_documents(spark, d))
 
 
-def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.chunk(docs(spark, d))
+_INDEXES: dict = {}
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_questions(spark, d)
+def index(spark: SparkSession, d: str) -> Index:
+    """The index of one folder's documents, built table by table on first use in a session."""
+    key = (spark.sparkContext.applicationId, d.rstrip("/"))
+    if key not in _INDEXES:
+        _INDEXES[key] = Index(spark, readers.read_documents(spark, d))
+    return _INDEXES[key]
 
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return graph_build.term_entities(chunks(spark, d), docs(spark, d))
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    return index(spark, d)["chunks"]
 
 
-def term_edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph_build.cooccur(mentions(spark, d))
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return readers.read_questions(spark, d)
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    c = chunks(spark, d)
-    return retrieve.bm25(questions(spark, d), retrieve.postings(c), retrieve.corpus_stats(c), k)
+    i = index(spark, d)
+    return retrieve.bm25(questions(spark, d), i["postings"], i["stats"], k, rarity=i["rarity"])
 
 
 def star_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:

@@ -12,11 +12,11 @@ SQL: dict = {}
 
 
 def _both(spark, d):
-    return cut(iterate.symmetric(base.term_edges(spark, d)))
+    return base.index(spark, d)["edges"]
 
 
 def _seeds(spark, d):
-    return retrieve.question_entities(base.questions(spark, d), base.mentions(spark, d))
+    return retrieve.question_entities(base.questions(spark, d), base.index(spark, d)["mentions"])
 
 
 def degree_stats(spark, d):
@@ -45,8 +45,8 @@ def k_hop(spark, d):
 
 
 def connected_components(spark, d):
-    nodes = base.mentions(spark, d).select(F.col("entity").alias("node")).distinct()
-    return iterate.components(base.term_edges(spark, d), nodes)
+    nodes = base.index(spark, d)["mentions"].select(F.col("entity").alias("node")).distinct()
+    return iterate.components(_both(spark, d), nodes)
 
 
 def shortest_path(spark, d):
@@ -66,12 +66,12 @@ def community_hierarchy(spark, d):
 
 def contract_graph(spark, d):
     e = _both(spark, d)
-    return iterate.contract(e, iterate.communities(e, 3))
+    return iterate.contract(e, base.index(spark, d)["members"])
 
 
 def modularity(spark, d):
     e = _both(spark, d)
-    return graph.modularity(e, iterate.communities(e, 3)).withColumn("modularity", F.round("modularity", 6))
+    return graph.modularity(e, base.index(spark, d)["members"]).withColumn("modularity", F.round("modularity", 6))
 
 
 def pagerank(spark, d):
@@ -85,11 +85,11 @@ def personalized_pagerank(spark, d):
 
 
 def triangle_count(spark, d):
-    return graph.triangles(cut(base.term_edges(spark, d))).withColumn("clustering", F.round("clustering", 6))
+    return graph.triangles(_both(spark, d)).withColumn("clustering", F.round("clustering", 6))
 
 
 def neighbor_similarity(spark, d):
-    e = cut(base.term_edges(spark, d))
+    e = _both(spark, d).where("src < dst")
     out = graph.common_neighbors(e, e)
     return out.withColumn("jaccard", F.round("jaccard", 6)).withColumn("adamic_adar", F.round("adamic_adar", 6))
 

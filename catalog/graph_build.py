@@ -22,7 +22,7 @@ def gazetteer_mentions(spark, d):
 
 
 def term_entities(spark, d):
-    return base.mentions(spark, d)
+    return gb.term_entities(base.chunks(spark, d), base.docs(spark, d))
 
 
 def entity_normalize(spark, d):
@@ -30,15 +30,15 @@ def entity_normalize(spark, d):
 
 
 def entity_resolve(spark, d):
-    return gb.resolve(base.mentions(spark, d))
+    return gb.resolve(base.index(spark, d)["mentions"])
 
 
 def cooccurrence_edges(spark, d):
-    return base.term_edges(spark, d)
+    return gb.cooccur(base.index(spark, d)["mentions"])
 
 
 def pmi_edges(spark, d):
-    m = base.mentions(spark, d)
+    m = base.index(spark, d)["mentions"]
     out = gb.pmi(gb.cooccur(m), m, base.chunks(spark, d))
     return out.withColumn("pmi", F.round("pmi", 6))
 
@@ -53,7 +53,7 @@ def table_triples(spark, d):
 
 
 def chunk_entity_edges(spark, d):
-    out = gb.mention_edges(base.mentions(spark, d), base.chunks(spark, d))
+    out = gb.mention_edges(base.index(spark, d)["mentions"], base.chunks(spark, d))
     return out.withColumn("weight", F.round("weight", 6))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog.base import cte, hits_out, with_ctes
 from catalog.graph import ppr_rounds
-from lodeweave.operators import context, corpus, graph_build, iterate, retrieve, vectors
+from lodeweave.operators import retrieve, vectors
 from lodeweave.session import cut
 from lodeweave.sources import readers
 
@@ -19,20 +19,13 @@ def _vectors(spark, d):
 
 
 def _tfidf(spark, d, k=10):
-    c = base.chunks(spark, d)
-    return retrieve.tfidf(base.questions(spark, d), retrieve.postings(c), retrieve.corpus_stats(c), k)
+    i = base.index(spark, d)
+    return retrieve.tfidf(base.questions(spark, d), i["postings"], i["stats"], k, rarity=i["rarity"])
 
 
-def graph_parts(spark, d):
-    """Both-way entity edges and mention weights, written once and read by several joins."""
-    c = base.chunks(spark, d)
-    m = cut(base.mentions(spark, d))
-    return cut(iterate.symmetric(graph_build.cooccur(m))), cut(graph_build.mention_edges(m, c)), m
-
-
-def reports(spark, d):
-    edges, _, m = graph_parts(spark, d)
-    return context.community_reports(iterate.communities(edges, 3), m, base.chunks(spark, d))
+def local_hits(spark, d):
+    i = base.index(spark, d)
+    return retrieve.local_search(base.questions(spark, d), i["edges"], i["weights"])
 
 
 def bm25_topk(spark, d):
@@ -87,27 +80,24 @@ def hits_dedup(spark, d):
 
 
 def mmr_rerank(spark, d):
-    c = base.chunks(spark, d)
-    n = c.agg(F.count("*").alias("n")).scalar()
+    i = base.index(spark, d)
     hits = cut(base.bm25_hits(spark, d, 30))
-    wanted = c.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    vec = retrieve.hash_embed(wanted, retrieve.term_rarity(c), n)
+    wanted = i["chunks"].join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    vec = retrieve.hash_embed(wanted, i["rarity"], i["stats"].select("n").scalar())
     return hits_out(vectors.mmr(hits, vec, 5))
 
 
 def local_graph_search(spark, d):
-    edges, weights, _ = graph_parts(spark, d)
-    return hits_out(retrieve.local_search(base.questions(spark, d), edges, weights))
+    return hits_out(local_hits(spark, d))
 
 
 def ppr_graph_search(spark, d):
-    edges, weights, _ = graph_parts(spark, d)
-    return hits_out(retrieve.ppr_search(base.questions(spark, d), edges, weights))
+    i = base.index(spark, d)
+    return hits_out(retrieve.ppr_search(base.questions(spark, d), i["edges"], i["weights"]))
 
 
 def global_graph_search(spark, d):
-    out = retrieve.global_search(base.questions(spark, d), cut(reports(spark, d)))
-    return out
+    return retrieve.global_search(base.questions(spark, d), base.index(spark, d)["reports"])
 
 
 for _f in (

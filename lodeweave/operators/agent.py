@@ -66,6 +66,7 @@ def iterate(
     rounds: int = 2,
     k: int = 5,
     n_new: int = 3,
+    rarity: DataFrame | None = None,
 ) -> DataFrame:
     """``(q_id, round, chunk_id, score, rank)``: retrieval in rounds with feedback.
 
@@ -76,7 +77,7 @@ def iterate(
     asked = cut(question_terms(questions))
     out = None
     for r in range(1, rounds + 1):
-        hits = bm25(asked, post, stats, k * r)
+        hits = bm25(asked, post, stats, k * r, rarity=rarity)
         if out is not None:
             hits = hits.join(out.select("q_id", "chunk_id"), ["q_id", "chunk_id"], "left_anti")
         order = W.partitionBy("q_id").orderBy("rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import text as tx
 from lodeweave.operators.iterate import components
+from lodeweave.operators.retrieve import postings
 
 # Default patterns of typed mentions.
 PATTERNS = {
@@ -72,13 +73,8 @@ def term_entities(chunks: DataFrame, docs: DataFrame, min_len: int = 5, df_lo: i
         .agg(F.count("*").alias("df"))
         .where(F.col("df").between(df_lo, df_hi))
     )
-    return (
-        chunks.select("chunk_id", F.explode(tx.terms("text")).alias("entity"))
-        .where(F.length("entity") >= min_len)
-        .join(band, "entity", "left_semi")
-        .groupBy("entity", "chunk_id")
-        .agg(F.count("*").alias("n"))
-    )
+    found = postings(chunks).select(F.col("term").alias("entity"), "chunk_id", F.col("tf").alias("n"))
+    return found.where(F.length("entity") >= min_len).join(band, "entity", "left_semi")
 
 
 def surface_forms(chunks: DataFrame, min_len: int = 5) -> DataFrame:

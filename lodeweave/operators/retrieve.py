@@ -41,13 +41,23 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``(term, chunk_id, tf, dl)``; the chunk length rides along and saves a join."""
-    t = tx.terms("text")
+    """``(term, chunk_id, tf, dl)``; the chunk length rides along and saves a join.
+
+    Terms are counted inside the chunk row, which a window bounds, so a corpus turns
+    into postings without a shuffle.
+    """
+
+    def counted(t: Column) -> Column:
+        rows = F.transform(
+            F.array_distinct(t),
+            lambda w: F.struct(w.alias("term"), F.size(F.filter(t, lambda x: x == w)).cast("bigint").alias("tf")),
+        )
+        return F.struct(F.size(t).alias("dl"), rows.alias("rows"))
+
     return (
-        chunks.select("chunk_id", F.size(t).alias("dl"), F.explode(t).alias("term"))
-        .groupBy("term", "chunk_id", "dl")
-        .agg(F.count("*").alias("tf"))
-        .select("term", "chunk_id", "tf", "dl")
+        chunks.select("chunk_id", tx.let(tx.terms("text"), counted).alias("c"))
+        .select("chunk_id", "c.dl", F.explode("c.rows").alias("r"))
+        .select("r.term", "chunk_id", "r.tf", "dl")
     )
 
 
@@ -56,20 +66,23 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tx.terms("text"))).alias("avgdl"))
 
 
-def matched(questions: DataFrame, post: DataFrame) -> DataFrame:
-    """Postings of the question terms, filtered before anything is shuffled when the
-    term list is small enough for Spark to broadcast."""
-    return post.join(question_terms(questions).select("term").distinct(), "term", "left_semi")
+def asked_terms(questions: DataFrame, post: DataFrame, rarity: DataFrame | None = None) -> DataFrame:
+    """``(q_id, term, df)`` of the question terms that occur, checkpointed: the table is as
+    small as the questions and both the salt and the join read it.
+
+    Without the index's ``rarity`` table the frequencies are counted over the postings of these terms.
+    """
+    terms = question_terms(questions)
+    if rarity is None:
+        rows = post.select("term").join(terms.select("term").distinct(), "term", "left_semi")
+        rarity = rows.groupBy("term").agg(F.count("*").alias("df"))
+    return cut(terms.join(rarity, "term").select("q_id", "term", "df"))
 
 
-def term_rows(questions: DataFrame, post: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """``(q_id, chunk_id, term, tf, dl, df)`` for each question term in each chunk; a
-    term held by many chunks is split over tasks."""
-    rows = matched(questions, post)
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    asked = question_terms(questions).join(df, "term")
-    hot = hot_keys(df, "term", "df", rows_per_task)
-    return salted_join(rows, asked, "term", hot, F.xxhash64("chunk_id"))
+def term_rows(asked: DataFrame, post: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Postings joined to the question terms; a term held by many chunks is split over tasks."""
+    hot = hot_keys(asked.select("term", "df").distinct(), "term", "df", rows_per_task)
+    return salted_join(post, asked, "term", hot, F.xxhash64("chunk_id"))
 
 
 def bm25(
@@ -79,6 +92,7 @@ def bm25(
     k: int = 10,
     k1: float = 1.2,
     b: float = 0.75,
+    rarity: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Best ``k`` chunks per question (Robertson & Zaragoza 2009)."""
@@ -87,47 +101,53 @@ def bm25(
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
     scored = (
-        term_rows(questions, post, rows_per_task)
+        term_rows(asked_terms(questions, post, rarity), post, rows_per_task)
         .groupBy("q_id", "chunk_id")
         .agg(F.sum(idf * tf).alias("score"))
     )
     return top_k(scored, k, "bm25")
 
 
-def weights(post: DataFrame, stats: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def weights(post: DataFrame, stats: DataFrame, rarity: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(term, chunk_id, w)`` tf-idf weights of a whole corpus."""
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
     n = stats.select("n").scalar()
-    hot = hot_keys(df, "term", "df", rows_per_task)
-    rows = salted_join(post, df, "term", hot, F.xxhash64("chunk_id"))
+    rows = salted_join(post, rarity, "term", hot_keys(rarity, "term", "df", rows_per_task), F.xxhash64("chunk_id"))
     return rows.select("term", "chunk_id", ((1 + F.ln("tf")) * F.ln(1 + n / F.col("df"))).alias("w"))
 
 
+def chunk_norms(post: DataFrame, stats: DataFrame, rarity: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``(chunk_id, norm)``: lengths of the tf-idf vectors, worth keeping next to an index."""
+    w = weights(post, stats, rarity, rows_per_task)
+    return w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+
+
 def tfidf(
-    questions: DataFrame, post: DataFrame, stats: DataFrame, k: int = 10, rows_per_task: int = ROWS_PER_TASK
+    questions: DataFrame,
+    post: DataFrame,
+    stats: DataFrame,
+    k: int = 10,
+    rarity: DataFrame | None = None,
+    norms: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Best ``k`` chunks per question by tf-idf cosine. The question's own length does
-    not change its ranking but is divided out to give a cosine."""
-    w = weights(post, stats, rows_per_task)
-    norms = w.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    """Best ``k`` chunks per question by tf-idf cosine."""
+    if rarity is None:
+        rarity = post.groupBy("term").agg(F.count("*").alias("df"))
+    if norms is None:
+        norms = chunk_norms(post, stats, rarity, rows_per_task)
     n = stats.select("n").scalar()
-    asked = (
+    asked = cut(
         questions.select("q_id", F.explode(tx.terms("text")).alias("term"))
         .groupBy("q_id", "term")
-        .agg(F.count("*").alias("tf"))
-        .join(df, "term")
-        .select("q_id", "term", "df", ((1 + F.ln("tf")) * F.ln(1 + n / F.col("df"))).alias("qw"))
+        .agg(F.count("*").alias("qf"))
+        .join(rarity, "term")
+        .select("q_id", "term", "df", ((1 + F.ln("qf")) * F.ln(1 + n / F.col("df"))).alias("qw"))
     )
     q_norm = asked.groupBy("q_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    hot = hot_keys(df, "term", "df", rows_per_task)
     dots = (
-        salted_join(
-            post.join(asked.select("term").distinct(), "term", "left_semi"), asked, "term", hot, F.xxhash64("chunk_id")
-        )
-        .select("q_id", "chunk_id", (F.col("qw") * (1 + F.ln("tf")) * F.ln(1 + n / F.col("df"))).alias("x"))
+        term_rows(asked, post, rows_per_task)
         .groupBy("q_id", "chunk_id")
-        .agg(F.sum("x").alias("dot"))
+        .agg(F.sum(F.col("qw") * (1 + F.ln("tf")) * F.ln(1 + n / F.col("df"))).alias("dot"))
     )
     scored = (
         dots.join(norms, "chunk_id")
