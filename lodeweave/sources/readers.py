@@ -75,6 +75,12 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def stream_path(sf_dir: str, name: str) -> str:
+    """Path of one table for a stream. The file source takes a folder or a pattern; as a
+    pattern the name may be either a file or a folder of files."""
+    return f"{sf_dir.rstrip('/')}/{name}.parque[t]"
+
+
 def stream_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """Event files as a stream; ``ts`` becomes a timestamp so that it can carry a watermark."""
     reader = spark.readStream.schema(EVENTS)
