@@ -81,13 +81,15 @@ def activity_edges(events: DataFrame, width: str, delay: str = "1 hour") -> Data
 
 
 class UserProfile(StatefulProcessor):
-    """Running count, total and last time per user; idle state expires after ``ttl_ms``."""
+    """Running count, total and last time per user. A user idle for ``idle_ms`` of event
+    time, past the watermark, is forgotten and starts anew."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("profile", "n bigint, total double, last timestamp", ttlDurationMs=self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState("profile", "n bigint, total double, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, total, last = self.state.get() if self.state.exists() else (0, 0.0, None)
@@ -97,8 +99,16 @@ class UserProfile(StatefulProcessor):
             newest = pdf["last"].max().to_pydatetime()
             last = newest if last is None else max(last, newest)
         self.state.update((n, total, last))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        ms = int(pd.Timestamp(last).timestamp() * 1000)
+        self.handle.registerTimer(ms + self.idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "last": [last]})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -110,7 +120,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def profiles(events: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+def profiles(events: DataFrame, idle_ms: int = 90 * 86_400_000, delay: str = "1 hour") -> DataFrame:
     """``(user_id, n, total, last)`` after each micro-batch, in update mode.
 
     Arrow batches are summed per user before the shuffle, so a busy user's state is
@@ -121,7 +131,7 @@ def profiles(events: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
     shape = "user_id bigint, n bigint, total double, last timestamp"
-    part = events.select("user_id", "event_id", "value", "ts").mapInPandas(_combine, shape)
+    part = events.select("user_id", "event_id", "value", "ts").mapInPandas(_combine, shape).withWatermark("last", delay)
     return part.groupBy("user_id").transformWithStateInPandas(
-        UserProfile(ttl_ms), outputStructType=shape, outputMode="Update", timeMode="ProcessingTime"
+        UserProfile(idle_ms), outputStructType=shape, outputMode="Update", timeMode="EventTime"
     )
