@@ -86,6 +86,7 @@ def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.concat_ws("-", b.cast("string"), F.slice(F.col("sig"), b * rows + 1, rows).cast("array<string>")),
     )
+    # Spark sizes an array as one element and might broadcast the sets by mistake: they are merged.
     active = sigs.select("doc_id", F.explode(buckets).alias("bucket"))
     found = None
     while True:
@@ -95,12 +96,15 @@ def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float
             .where("n > 1")
             .drop("n")
         )
-        open_pairs = active.join(heads, "bucket").where("doc_id > head")
+        # Only sets of documents that still share a bucket are moved by the joins below.
+        active = cut(active.join(heads, "bucket").select("doc_id", "bucket", "head"))
+        sets = cut(sets.join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
+        open_pairs = active.where("doc_id > head")
         pairs = open_pairs.select("doc_id", "head").distinct()
         shared = F.size(F.array_intersect("s", "hs"))
         close = (
-            pairs.join(sets, "doc_id")
-            .join(sets.select(F.col("doc_id").alias("head"), F.col("s").alias("hs")), "head")
+            pairs.join(sets.hint("merge"), "doc_id")
+            .join(sets.select(F.col("doc_id").alias("head"), F.col("s").alias("hs")).hint("merge"), "head")
             .where(shared / (F.size("s") + F.size("hs") - shared) >= min_jaccard)
             .select("doc_id", "head")
         )

@@ -83,8 +83,9 @@ def triangles(edges: DataFrame) -> DataFrame:
     )
     lists = out.groupBy("a").agg(F.collect_list("b").alias("next"))
     found = (
-        out.join(lists, "a")
-        .join(lists.select(F.col("a").alias("b"), F.col("next").alias("next_b")), "b")
+        # The size of a list column is unknown to the planner, so neither side is broadcast.
+        out.join(lists.hint("merge"), "a")
+        .join(lists.select(F.col("a").alias("b"), F.col("next").alias("next_b")).hint("merge"), "b")
         .select("a", "b", F.explode(F.array_intersect("next", "next_b")).alias("c"))
         .select(F.explode(F.array("a", "b", "c")).alias("node"))
         .groupBy("node")

@@ -60,23 +60,32 @@ def gazetteer_mentions(chunks: DataFrame, names: DataFrame, max_n: int = 3) -> D
     )
 
 
-def term_entities(chunks: DataFrame, docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int = 20) -> DataFrame:
-    """``(entity, chunk_id, n)`` for terms found in ``df_lo`` to ``df_hi`` documents.
+def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int = 20) -> DataFrame:
+    """``(entity, df)``: terms found in ``df_lo`` to ``df_hi`` documents.
 
-    Document frequencies come from the distinct terms of each document row, so they
-    need one partially aggregated count and no distinct across rows.
+    Frequencies come from the distinct terms of each document row, so they need one
+    partially aggregated count and no distinct across rows.
     """
-    band = (
+    return (
         docs.select(F.explode(F.array_distinct(tx.terms("text"))).alias("entity"))
         .where(F.length("entity") >= min_len)
         .groupBy("entity")
         .agg(F.count("*").alias("df"))
         .where(F.col("df").between(df_lo, df_hi))
     )
-    found = postings(chunks).select(F.col("term").alias("entity"), "chunk_id", F.col("tf").alias("n"))
+
+
+def entities_in(post: DataFrame, band: DataFrame, min_len: int = 5) -> DataFrame:
+    """``(entity, chunk_id, n)``: the postings whose term is an entity."""
+    found = post.select(F.col("term").alias("entity"), "chunk_id", F.col("tf").alias("n"))
     return found.where(F.length("entity") >= min_len).join(band, "entity", "left_semi")
 
 
+def term_entities(chunks: DataFrame, docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int = 20) -> DataFrame:
+    """``(entity, chunk_id, n)`` for terms in a document-frequency band."""
+    return entities_in(postings(chunks), entity_band(docs, min_len, df_lo, df_hi), min_len)
+
+
 def surface_forms(chunks: DataFrame, min_len: int = 5) -> DataFrame:
     """``(form, chunk_id, n)`` of words as written."""
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))

@@ -2,7 +2,7 @@
 
 Each is a loop of joins and partial aggregations on the driver, which holds only
 a round number and a stop flag. ``cut`` ends the lineage of every round with a
-checkpoint in the shared folder, so a lost executor costs one round.
+table in the shared folder, so a lost executor costs one round.
 Edges are ``(src, dst[, weight])``; ``symmetric`` turns once-stored edges both ways.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.skew import ROWS_PER_TASK, add_salt, copy_per_salt, hot_keys
-from lodeweave.session import cut
+from lodeweave.session import cut, pin
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def lay_out(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Spread:
     laid = salted.join(share, ["src", "salt"]).select(
         "src", "salt", "dst", "weight", (F.col("weight") / F.col("total")).alias("p")
     )
-    return Spread(cut(laid), hot)
+    return Spread(pin(laid), hot)
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:

@@ -14,7 +14,7 @@ class Index:
 
     ============ =====================================================
     ``chunks``   windows of the deduplicated documents
-    ``postings`` ``(term, chunk_id, tf, dl)``, sorted by term
+    ``postings`` ``(term, chunk_id, tf, dl)``
     ``rarity``   ``(term, df)`` by chunk
     ``stats``    one row ``(n, avgdl)``
     ``mentions`` ``(entity, chunk_id, n)``
@@ -42,9 +42,9 @@ class Index:
         return corpus.chunk(self.docs)
 
     def _postings(self) -> DataFrame:
-        # Range-sorted, so that row-group statistics prune single-term look-ups; the
-        # chunk id in the key breaks a frequent term over several files.
-        return retrieve.postings(self["chunks"]).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        # Batches of questions read all postings, so these are written where they are
+        # made; ``sources.index.write_index`` sorts a copy for single-term look-ups.
+        return retrieve.postings(self["chunks"])
 
     def _rarity(self) -> DataFrame:
         return self["postings"].groupBy("term").agg(F.count("*").alias("df"))
@@ -53,7 +53,7 @@ class Index:
         return retrieve.corpus_stats(self["chunks"])
 
     def _mentions(self) -> DataFrame:
-        return graph_build.term_entities(self["chunks"], self.docs)
+        return graph_build.entities_in(self["postings"], graph_build.entity_band(self.docs))
 
     def _weights(self) -> DataFrame:
         return graph_build.mention_edges(self["mentions"], self["chunks"])

@@ -19,6 +19,9 @@ def build_session(app: str = "lodeweave", master: str | None = None, shuffle_par
     )
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # The one JVM of a local session is driver and executor.
+            builder = builder.config("spark.driver.memory", "12g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
@@ -49,8 +52,9 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: keeps the partitioning, drops the lineage."""
+def pin(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: drops the lineage and keeps the partitioning, for tables that a
+    loop joins again and again on the same key."""
     shared_root(df.sparkSession)
     return df.checkpoint()
 
@@ -60,3 +64,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of a loop's state with a written table.
+
+    A checkpoint would carry the size estimate and the constraints of the plan behind it
+    into the next round, where they grow until planning takes longer than the work.
+    A table has neither, and Spark sees its real size when it picks a join.
+    """
+    return stored(df, "round")
