@@ -63,7 +63,7 @@ def read_turns(spark: SparkSession, sf_dir: str, roles: Iterable[str] | None = N
 def read_vectors(spark: SparkSession, sf_dir: str, dim: int = 64) -> DataFrame:
     """Vectors of the wanted size; other sizes are rejected."""
     vectors = table(spark, sf_dir, "embeddings", VECTORS)
-    return vectors.where(F.size("embedding") == dim)
+    return widen(vectors.where(F.size("embedding") == dim), "vec_id")
 
 
 def read_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
