@@ -97,7 +97,7 @@ def knn(
     hot = hot_keys(lists, "list", "n", rows_per_task)
 
     def compare(targets: DataFrame) -> DataFrame:
-        asked = targets.join(q.withColumnRenamed("embedding", "qv"), "q_id")
+        asked = _spread(targets.join(q.withColumnRenamed("embedding", "qv"), "q_id"))
         rows = salted_join(placed.drop("dist"), asked, "list", hot, F.xxhash64(id_col))
         if exclude_self:
             rows = rows.where(F.col("q_id") != F.col(id_col))
@@ -113,6 +113,13 @@ def knn(
     return top_k(compare(second.select("q_id", "list")), k, "vector", ties=id_col)
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Spread (question, list) rows over the shuffle partitions: each row stands for a
+    list of comparisons, so few bytes are much work and must not be coalesced."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "q_id", "list")
+
+
 def probe(
     placed: DataFrame,
     probes: DataFrame,
@@ -129,7 +136,7 @@ def probe(
     candidates are cut per task and never shuffled whole.
     """
     hot = hot_keys(placed.groupBy("list").agg(F.count("*").alias("n")), "list", "n", rows_per_task)
-    scored = salted_join(placed, probes, "list", hot, F.xxhash64(id_col)).select(
+    scored = salted_join(placed, _spread(probes), "list", hot, F.xxhash64(id_col)).select(
         "q_id", id_col, dot("qv", "embedding").alias("score")
     )
     if repeats > 1:
