@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.skew import ROWS_PER_TASK, add_salt, copy_per_salt, hot_keys
-from lodeweave.session import cut, pin
+from lodeweave.session import cut, discard, pin
 
 
 def weighted(edges: DataFrame) -> DataFrame:
@@ -58,12 +58,12 @@ def lay_out(edges: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> Spread:
     return Spread(pin(laid), hot)
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """``(node, component)``, the component named by its least node.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), on minima
-    that are partially aggregated before the shuffle. ``nodes`` (column ``node``)
-    adds isolated nodes.
+    that are partially aggregated before the shuffle, until a round changes nothing. ``nodes``
+    (column ``node``) adds isolated nodes. A round's tables go when the next one is written.
     """
     every = endpoints(edges)
     if nodes is not None:
@@ -74,22 +74,21 @@ def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int
         .distinct()
     )
     mark = _fingerprint(pairs)
-    for _ in range(max_rounds):
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
+        large = cut(
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        large = cut(large)
+        discard(pairs)
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = cut(moved.union(lower).distinct())
+        discard(large)
         new = _fingerprint(pairs)
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return every.join(pairs.select(F.col("u").alias("node"), "v"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("component")
     )

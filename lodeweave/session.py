@@ -63,7 +63,19 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table that ``stored`` or ``cut`` wrote for ``df``, when nothing reads it any more."""
+    path = getattr(df, "stored_at", None)
+    if path is None:
+        return
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
