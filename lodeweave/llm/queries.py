@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import cross_parse, mixing, pieces_bpe, quality, repeats, shards, simhash
+from lodeweave.llm import cross_parse, html_main, mixing, neighbours, pieces_bpe, quality, repeats, shards, simhash, surrogates
 from lodeweave.llm.common import read
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,10 +17,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_bpe.encode(read(spark, sf_dir, "documents"), PIECES).drop("ids_text", "decoded")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.hide(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse.identify(read(spark, sf_dir, "documents"))
 
@@ -41,7 +49,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op3_sentencepiece, op5_language_id, op6_quality_rules, op7_mixing, op8_simhash, op9_sharding)}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_html_extraction, op3_sentencepiece, op4_pii, op5_language_id, op6_quality_rules, op7_mixing, op8_simhash, op9_sharding, op10_nearest_neighbours,
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
