@@ -309,7 +309,8 @@ def _finish(width: int):
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, text, rid, did) and ``(rid, did, at)``, the places of their repeated windows."""
-    n = min(2 * partitions(docs.sparkSession), 60_000)
+    # As many buckets and blocks as shuffle partitions: a bucket answers each block in one row.
+    n = min(partitions(docs.sparkSession), 60_000)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
