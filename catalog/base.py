@@ -135,7 +135,7 @@ cte("ments", r"""
     FROM (SELECT chunk_id, unnest(t) AS entity FROM chunk_toks)
     WHERE entity IN (
         SELECT e FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS e FROM udocs)
-        WHERE length(e) >= 5 GROUP BY e HAVING count(*) BETWEEN 5 AND 20)
+        WHERE length(e) >= 5 GROUP BY e HAVING count(*) >= 5)
     GROUP BY ALL""")
 cte("edges", """
     SELECT a.entity AS src, b.entity AS dst, count(*) AS weight
@@ -175,7 +175,7 @@ def propagation(edge_table: str, rounds: int, prefix: str) -> str:
 
 def min_labels(edge_table: str, node_table: str, rounds: int, prefix: str) -> str:
     """CTE text of minimum label spreading over both-way edges, with a jump to the
-    label's own label each round; settles long before ``rounds`` on the given data."""
+    label's own label each round. ``settled`` must read the result: it fails if the last round changed a label."""
     parts = [f"{prefix}0 AS MATERIALIZED (SELECT DISTINCT node, node AS label FROM {node_table})"]
     for r in range(1, rounds + 1):
         p = f"{prefix}{r - 1}"
@@ -188,6 +188,14 @@ def min_labels(edge_table: str, node_table: str, rounds: int, prefix: str) -> st
     return ",\n".join(parts)
 
 
+def settled(prefix: str, rounds: int) -> str:
+    """A derived table of ``(node, label)`` of the last round of ``min_labels``, an error if it was not the end."""
+    return (
+        f"(SELECT a.node, CASE WHEN a.label = b.label THEN a.label ELSE error('labels not settled after {rounds} rounds') END AS label "
+        f"FROM {prefix}{rounds} a JOIN {prefix}{rounds - 1} b USING (node))"
+    )
+
+
 def register(parts: str) -> None:
     """Register the expressions of a generated chain one by one."""
     for part in re.split(r",\n(?=\w+ AS MATERIALIZED)", parts):

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.base import cte, min_labels, with_ctes
+from catalog.base import cte, min_labels, settled, with_ctes
 from lodeweave.operators import corpus
 from lodeweave.sources import readers
 
@@ -71,43 +71,28 @@ SQL["exact_dedup"] = with_ctes("SELECT * FROM udocs")
 
 cte("shingled", r"""
     SELECT doc_id, list_distinct(list_transform(g, lambda x: ('0x' || md5(x)[1:8])::BIGINT)) AS s
-    FROM (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i : i + 2], ' '))) AS g
+    FROM (SELECT doc_id, CASE WHEN len(t) BETWEEN 1 AND 2 THEN [array_to_string(t, ' ')]
+                 ELSE list_distinct(list_transform(range(1, greatest(len(t) - 1, 1)), lambda i: array_to_string(t[i : i + 2], ' '))) END AS g
           FROM (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM udocs))
     WHERE len(g) > 0""")
-cte("sigs", """
-    SELECT doc_id, list_transform(range(0, 16), lambda i: list_min(list_transform(s, lambda h:
-        (h * (1000003 * (2 * i + 1)) + 7919 * (i + 1)) % 2147483647))) AS sig FROM shingled""")
+_FAMILY = corpus.hash_family(48)
+cte("sigs", f"""
+    SELECT doc_id, list_transform(range(1, 49), lambda i: list_min(list_transform(s, lambda h:
+        (h * ({[a for a, _ in _FAMILY]})[i] + ({[b for _, b in _FAMILY]})[i]) % {corpus.PRIME}))) AS sig FROM shingled""")
 cte("bands", """
     SELECT doc_id, b || '-' || array_to_string(sig[b * 4 + 1 : b * 4 + 4], '-') AS bucket
-    FROM (SELECT doc_id, sig, unnest(range(0, 4)) AS b FROM sigs)""")
-
-
-def _leader_rounds(rounds: int) -> str:
-    """Rounds of the leader rule, unrolled; the last must leave no open pair."""
-    parts = ["act0 AS MATERIALIZED (SELECT doc_id, bucket FROM bands)"]
-    for r in range(rounds):
-        parts.append(
-            f"open{r} AS MATERIALIZED (SELECT bucket, doc_id, head FROM act{r} JOIN "
-            f"(SELECT bucket, min(doc_id) AS head FROM act{r} GROUP BY bucket) USING (bucket) WHERE doc_id > head)"
-        )
-        parts.append(
-            f"good{r} AS MATERIALIZED (SELECT p.doc_id, p.head FROM (SELECT DISTINCT doc_id, head FROM open{r}) p "
-            f"JOIN shingled a ON a.doc_id = p.doc_id JOIN shingled b ON b.doc_id = p.head "
-            f"WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.7)"
-        )
-        parts.append(
-            f"act{r + 1} AS MATERIALIZED (SELECT doc_id, bucket FROM open{r} ANTI JOIN good{r} USING (doc_id, head))"
-        )
-    union = " UNION ALL ".join(f"SELECT doc_id AS src, head AS dst FROM good{r}" for r in range(rounds))
-    parts.append(f"near AS MATERIALIZED ({union})")
-    parts.append("near_both AS MATERIALIZED (SELECT src, dst FROM near UNION SELECT dst, src FROM near)")
-    parts.append("near_nodes AS MATERIALIZED (SELECT doc_id AS node FROM udocs)")
-    return ",\n".join(parts)
+    FROM (SELECT doc_id, sig, unnest(range(0, 12)) AS b FROM sigs)""")
 
+_LEADERS = """
+led AS MATERIALIZED (SELECT DISTINCT doc_id, head FROM bands JOIN (SELECT bucket, min(doc_id) AS head FROM bands GROUP BY bucket) USING (bucket) WHERE doc_id > head),
+near AS MATERIALIZED (SELECT p.doc_id AS src, p.head AS dst FROM led p JOIN shingled a ON a.doc_id = p.doc_id JOIN shingled b ON b.doc_id = p.head
+  WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.7),
+near_both AS MATERIALIZED (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
+near_nodes AS MATERIALIZED (SELECT doc_id AS node FROM udocs)"""
 
 SQL["near_dedup"] = with_ctes(
-    "SELECT node AS doc_id, label AS cluster FROM lab8",
-    _leader_rounds(4) + ",\n" + min_labels("near_both", "near_nodes", 8, "lab"),
+    f"SELECT node AS doc_id, label AS cluster FROM {settled('lab', 12)}",
+    _LEADERS + ",\n" + min_labels("near_both", "near_nodes", 12, "lab"),
 )
 _RAW_PIECES = r"SELECT doc_id, regexp_extract_all(text, '\S{1,64}') AS p FROM documents"
 SQL["chunk_tokens"] = f"""

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.base import min_labels, with_ctes
+from catalog.base import min_labels, settled, with_ctes
 from lodeweave.operators import graph, iterate, retrieve
 from lodeweave.session import cut
 
@@ -122,16 +122,15 @@ for _f in (
 SQL["degree_stats"] = with_ctes("""
 SELECT node, sum(o)::BIGINT AS n_out, sum(i)::BIGINT AS n_in, sum(o * w)::DOUBLE AS w_out, sum(i * w)::DOUBLE AS w_in
 FROM (SELECT src AS node, 1 AS o, 0 AS i, weight AS w FROM buys UNION ALL SELECT dst, 0, 1, weight FROM buys) GROUP BY node""")
-SQL["triple_pattern"] = with_ctes("""
-SELECT n.src AS n, c.src AS c, o.src AS o, h.dst AS p, s.dst AS s
-FROM facts n JOIN facts c ON c.dst = n.src JOIN facts o ON o.dst = c.src JOIN facts h ON h.src = o.src
-JOIN facts s ON s.src = h.dst JOIN facts i ON i.src = s.dst AND i.dst = n.src
-WHERE n.rel = 'in_region' AND n.dst = 'region:1' AND c.rel = 'in_nation' AND c.src LIKE 'customer:%'
-  AND o.rel = 'placed_by' AND h.rel = 'has_part' AND s.rel = 'supplied_by' AND i.rel = 'in_nation'""")
+SQL["triple_pattern"] = """
+WITH bought AS (SELECT DISTINCT c_nationkey AS n, c_custkey AS c, o_orderkey AS o, l_partkey AS p
+  FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1),
+made AS (SELECT DISTINCT s_nationkey AS n, l_partkey AS p, s_suppkey AS s FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)
+SELECT 'nation:' || n AS n, 'customer:' || c AS c, 'order:' || o AS o, 'part:' || p AS p, 'supplier:' || s AS s FROM bought JOIN made USING (n, p)"""
 SQL["k_hop"] = with_ctes("SELECT q_id, node, hop::INTEGER AS hop FROM (SELECT * FROM hop0 UNION ALL SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)")
 SQL["connected_components"] = with_ctes(
-    "SELECT node, label AS component FROM lab10",
-    "all_nodes AS MATERIALIZED (SELECT DISTINCT entity AS node FROM ments),\n" + min_labels("both_ways", "all_nodes", 10, "lab"),
+    f"SELECT node, label AS component FROM {settled('lab', 14)}",
+    "all_nodes AS MATERIALIZED (SELECT DISTINCT entity AS node FROM ments),\n" + min_labels("both_ways", "all_nodes", 14, "lab"),
 )
 
 

@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import base
-from catalog.base import min_labels, with_ctes
+from catalog.base import min_labels, settled, with_ctes
 from lodeweave.operators import graph_build as gb
 from lodeweave.sources import readers
 
@@ -87,13 +87,13 @@ SELECT entity, arg_min(form, (-n, form)) AS form, count(*) AS n_forms, sum(n)::B
   FROM (SELECT unnest(regexp_extract_all(text, '\p{L}+')) AS form FROM chunks) WHERE length(form) >= 5 GROUP BY ALL)
 WHERE entity <> '' GROUP BY entity""")
 SQL["entity_resolve"] = with_ctes(
-    "SELECT node AS entity, label AS canonical FROM lab16",
+    f"SELECT node AS entity, label AS canonical FROM {settled('lab', 40)}",
     # DuckDB compares bytes, so accented letters are mapped to single bytes first.
     """names AS MATERIALIZED (SELECT DISTINCT entity AS node, length(entity) AS l,
   translate(entity, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ01') AS b FROM ments),
 close AS MATERIALIZED (SELECT a.node AS src, b.node AS dst FROM names a JOIN names b
   ON a.l BETWEEN b.l - 1 AND b.l + 1 AND a.node <> b.node WHERE levenshtein(a.b, b.b) = 1),
-""" + min_labels("close", "names", 16, "lab"),
+""" + min_labels("close", "names", 40, "lab"),
 )
 SQL["cooccurrence_edges"] = with_ctes("SELECT src, dst, weight FROM edges")
 SQL["pmi_edges"] = with_ctes("""

@@ -179,7 +179,7 @@ cte("report_entities", """
       FROM seen GROUP BY community, entity) WHERE r <= 5 GROUP BY community""")
 cte("report_terms", r"""
     SELECT * FROM (SELECT community, term, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS r FROM (
-      SELECT community, term, count(*) AS n FROM (SELECT community, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM central)
+      SELECT community, term, sum(tf)::BIGINT AS n FROM (SELECT DISTINCT community, chunk_id FROM seen) JOIN posts USING (chunk_id)
       GROUP BY ALL)) WHERE r <= 20""")
 cte("sentences", r"""
     SELECT community, chunk_id, i AS pos, ss[i] AS sentence FROM (

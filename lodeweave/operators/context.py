@@ -43,8 +43,8 @@ def community_reports(
 ) -> DataFrame:
     """Extractive report of each community: ``(community, n_nodes, entities, report_terms, summary)``.
 
-    ``mentions`` are ``(entity, chunk_id, n)``. The central chunks hold the most
-    mentions of the community; its terms and sentences come from these. All lists are top-k.
+    ``mentions`` are ``(entity, chunk_id, n)``. Terms are counted over all chunks that mention the community; the
+    sentences come from its central chunks, those with the most mentions. All lists are top-k.
     """
     of = membership.select(F.col("node").alias("entity"), "community")
     seen = mentions.join(of, "entity")
@@ -65,10 +65,10 @@ def community_reports(
         .join(chunks.select("chunk_id", "text"), "chunk_id"),
         "central",
     )
+    # Terms are counted within a chunk before its communities multiply them.
+    counted = chunks.select("chunk_id", F.explode(tx.terms("text")).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     words = (
-        central.select("community", F.explode(tx.terms("text")).alias("term"))
-        .groupBy("community", "term")
-        .agg(F.count("*").alias("n"))
+        seen.select("community", "chunk_id").distinct().join(counted, "chunk_id").groupBy("community", "term").agg(F.sum("tf").alias("n"))
     )
     terms = best(words, n_terms, F.col("n").desc(), "term")
     sentences = central.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,8 +12,8 @@ from lodeweave.functions import text as tx
 from lodeweave.operators.iterate import components
 from lodeweave.session import cut
 
-# Fixed value: the modulus of the min-hash family, the prime 2^31 - 1.
-PRIME = 2147483647
+# Fixed value: the modulus of the min-hash family, the least prime above 2^32.
+PRIME = 4294967311
 
 
 def page_text(pages: DataFrame) -> DataFrame:
@@ -52,29 +54,38 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 
 def shingle_hashes(text: Column, width: int) -> Column:
-    """Distinct 32-bit hashes of the word ``width``-grams of a text."""
-    grams = F.array_distinct(tx.ngrams(tx.terms(text), width))
-    return F.array_distinct(F.transform(grams, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint")))
+    """Distinct 32-bit hashes of the word ``width``-grams of a text; a text of fewer words is one gram."""
+
+    def grams(t: Column) -> Column:
+        short = (F.size(t) > 0) & (F.size(t) < width)
+        return F.when(short, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(tx.ngrams(t, width)))
+
+    found = tx.let(tx.terms(text), grams)
+    return F.array_distinct(F.transform(found, lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint")))
+
+
+def hash_family(k: int) -> list[tuple[int, int]]:
+    """``k`` pairs (a, b) of ``(h * a + b) % PRIME``, drawn apart from each other; 32-bit h times a fits 63 bits."""
+    digits = [hashlib.md5(f"minhash {i}".encode()).hexdigest() for i in range(k)]
+    return [(1 + int(d[:7], 16), int(d[8:16], 16)) for d in digits]
 
 
 def minhash(hashes: Column, k: int) -> Column:
     """``k`` min-hashes of an array of 32-bit hashes (Broder 1997)."""
 
-    def one(hs: Column, i: int) -> Column:
-        a, b = 1000003 * (2 * i + 1), 7919 * (i + 1)
+    def one(hs: Column, a: int, b: int) -> Column:
         return F.array_min(F.transform(hs, lambda h: (h * F.lit(a) + F.lit(b)) % F.lit(PRIME)))
 
-    return tx.let(hashes, lambda h: F.array(*[one(h, i) for i in range(k)]))
+    return tx.let(hashes, lambda h: F.array(*[one(h, a, b) for a, b in hash_family(k)]))
 
 
-def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
-    """Edges from near copies to the leader of their bucket.
+def near_edges(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
+    """Edges from near copies to a leader of their buckets.
 
-    In each band bucket the least document leads; members whose Jaccard similarity
-    to it reaches ``min_jaccard`` leave the bucket as its copies, the others
-    choose a new leader among themselves, until no bucket has two members. A round
-    is linear in the bucket sizes, so a bucket of any size is judged whole
-    without forming its pairs.
+    In each band bucket the least document leads, and every other member is compared with it once, so a
+    document meets at most ``bands`` leaders and the work is linear in the documents whatever the size of a
+    bucket. Members that are near to each other and to none of their leaders are not linked by that bucket;
+    with many bands a pair has many leaders in common or leads itself.
     """
     if k % bands:
         raise ValueError("k must be a multiple of bands")
@@ -86,41 +97,23 @@ def near_edges(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float
         F.sequence(F.lit(0), F.lit(bands - 1)),
         lambda b: F.concat_ws("-", b.cast("string"), F.slice(F.col("sig"), b * rows + 1, rows).cast("array<string>")),
     )
-    # Spark sizes an array as one element and might broadcast the sets by mistake: they are merged.
-    active = sigs.select("doc_id", F.explode(buckets).alias("bucket"))
-    found = None
-    while True:
-        heads = (
-            active.groupBy("bucket")
-            .agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-            .where("n > 1")
-            .drop("n")
-        )
-        # Only sets of documents that still share a bucket are moved by the joins below.
-        active = cut(active.join(heads, "bucket").select("doc_id", "bucket", "head"))
-        sets = cut(sets.join(active.select("doc_id").distinct(), "doc_id", "left_semi"))
-        open_pairs = active.where("doc_id > head")
-        pairs = open_pairs.select("doc_id", "head").distinct()
-        shared = F.size(F.array_intersect("s", "hs"))
-        close = (
-            pairs.join(sets.hint("merge"), "doc_id")
-            .join(sets.select(F.col("doc_id").alias("head"), F.col("s").alias("hs")).hint("merge"), "head")
-            .where(shared / (F.size("s") + F.size("hs") - shared) >= min_jaccard)
-            .select("doc_id", "head")
-        )
-        judged = cut(
-            open_pairs.join(close.withColumn("close", F.lit(True)), ["doc_id", "head"], "left").select(
-                "bucket", "doc_id", "head", F.coalesce("close", F.lit(False)).alias("close")
-            )
-        )
-        edges = judged.where("close").select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
-        found = edges if found is None else found.unionByName(edges)
-        active = judged.where("not close").select("doc_id", "bucket")
-        if active.isEmpty():
-            return found.distinct()
+    members = sigs.select("doc_id", F.explode(buckets).alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = cut(members.join(heads, "bucket").where("doc_id > head").select("doc_id", "head").distinct())
+    # Only sets of documents that are compared move. Spark sizes an array as one element and might
+    # broadcast the sets by mistake: they are merged.
+    met = pairs.select("doc_id").union(pairs.select("head")).distinct()
+    sets = sets.join(met, "doc_id", "left_semi")
+    shared = F.size(F.array_intersect("s", "hs"))
+    return (
+        pairs.join(sets.hint("merge"), "doc_id")
+        .join(sets.select(F.col("doc_id").alias("head"), F.col("s").alias("hs")).hint("merge"), "head")
+        .where(shared / (F.size("s") + F.size("hs") - shared) >= min_jaccard)
+        .select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
+    )
 
 
-def near_clusters(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
+def near_clusters(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
     """``(doc_id, cluster)`` with the least id of each group of near copies.
 
     Exact copies go first (``dedup``); they carry no extra information here.
@@ -132,7 +125,7 @@ def near_clusters(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: flo
     ).select("doc_id", F.coalesce("component", "doc_id").alias("cluster"))
 
 
-def near_dedup(docs: DataFrame, k: int = 16, bands: int = 4, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
     keep = near_clusters(docs, k, bands, min_jaccard, width).where("doc_id = cluster")
     return docs.join(keep.select("doc_id"), "doc_id", "left_semi")
 

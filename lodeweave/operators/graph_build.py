@@ -41,8 +41,8 @@ def link_names(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(href).alias("name")).distinct()
 
 
-def gazetteer_mentions(chunks: DataFrame, names: DataFrame, max_n: int = 3) -> DataFrame:
-    """``(entity, chunk_id, n)``: dictionary names found as runs of 1 to ``max_n`` terms.
+def gazetteer_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """``(entity, chunk_id, n)``: dictionary names found as runs of terms, up to the longest name's.
 
     Spark broadcasts the dictionary when its size allows and shuffles it otherwise.
     """
@@ -51,6 +51,7 @@ def gazetteer_mentions(chunks: DataFrame, names: DataFrame, max_n: int = 3) -> D
         .where("entity <> ''")
         .distinct()
     )
+    max_n = keys.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
     grams = tx.let(tx.terms("text"), lambda t: F.concat(*[tx.ngrams(t, n) for n in range(1, max_n + 1)]))
     return (
         chunks.select("chunk_id", F.explode(grams).alias("entity"))
@@ -60,8 +61,9 @@ def gazetteer_mentions(chunks: DataFrame, names: DataFrame, max_n: int = 3) -> D
     )
 
 
-def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int = 20) -> DataFrame:
-    """``(entity, df)``: terms found in ``df_lo`` to ``df_hi`` documents.
+def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5) -> DataFrame:
+    """``(entity, df)``: terms found in ``df_lo`` documents or more. Frequent ones stay and are weighted down by
+    those who rank with them.
 
     Frequencies come from the distinct terms of each document row, so they need one
     partially aggregated count and no distinct across rows.
@@ -71,7 +73,7 @@ def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int =
         .where(F.length("entity") >= min_len)
         .groupBy("entity")
         .agg(F.count("*").alias("df"))
-        .where(F.col("df").between(df_lo, df_hi))
+        .where(F.col("df") >= df_lo)
     )
 
 
@@ -81,9 +83,9 @@ def entities_in(post: DataFrame, band: DataFrame, min_len: int = 5) -> DataFrame
     return found.where(F.length("entity") >= min_len).join(band, "entity", "left_semi")
 
 
-def term_entities(chunks: DataFrame, docs: DataFrame, min_len: int = 5, df_lo: int = 5, df_hi: int = 20) -> DataFrame:
-    """``(entity, chunk_id, n)`` for terms in a document-frequency band."""
-    return entities_in(postings(chunks), entity_band(docs, min_len, df_lo, df_hi), min_len)
+def term_entities(chunks: DataFrame, docs: DataFrame, min_len: int = 5, df_lo: int = 5) -> DataFrame:
+    """``(entity, chunk_id, n)`` for terms of ``df_lo`` documents or more."""
+    return entities_in(postings(chunks), entity_band(docs, min_len, df_lo), min_len)
 
 
 def surface_forms(chunks: DataFrame, min_len: int = 5) -> DataFrame:

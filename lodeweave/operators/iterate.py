@@ -261,18 +261,24 @@ def ppr(
     return state
 
 
-def k_core(edges: DataFrame, k: int, max_rounds: int = 100) -> DataFrame:
-    """Edges (both directions) of the ``k``-core: all nodes keep ``k`` neighbours or more."""
+def k_core(edges: DataFrame, k: int) -> DataFrame:
+    """Edges (both directions) of the ``k``-core: all nodes keep ``k`` neighbours or more.
+
+    Degrees are counted once; a round takes out the nodes that fell under ``k`` and lowers the counts of their
+    neighbours, so a long chain costs its edge nodes and not the graph.
+    """
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    size = e.count()
-    for _ in range(max_rounds):
-        keep = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k)
-        inside = e.join(keep.select("src"), "src", "left_semi").join(
-            keep.select(F.col("src").alias("dst")), "dst", "left_semi"
+    degree = cut(e.groupBy("src").agg(F.count("*").alias("n")).withColumnRenamed("src", "node"))
+    while True:
+        low = cut(degree.where(F.col("n") < k).select("node"))
+        if low.isEmpty():
+            break
+        # A node that is out already is not in ``degree``, so its count is not lowered again.
+        lost = e.join(low.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("lost"))
+        left = cut(
+            degree.join(low, "node", "left_anti").join(lost, "node", "left").select("node", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"))
         )
-        e = cut(inside.select("src", "dst"))
-        left = e.count()
-        if left == size:
-            return e
-        size = left
-    raise RuntimeError(f"the {k}-core did not settle in {max_rounds} rounds")
+        discard(degree)
+        degree = left
+    inside = degree.select("node")
+    return e.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")

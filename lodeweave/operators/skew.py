@@ -12,7 +12,7 @@ ROWS_PER_TASK = 1_000_000
 def hot_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """``(key, fan)`` of the keys over ``rows_per_task`` rows, from a table of counts.
 
-    There are at most total/rows_per_task of them, so the result may be broadcast.
+    There are at most total/rows_per_task of them; Spark broadcasts them where their size allows.
     """
     return counts.where(F.col(n) > rows_per_task).select(
         key, F.ceil(F.col(n) / F.lit(rows_per_task)).cast("int").alias("fan")
@@ -22,7 +22,7 @@ def hot_keys(counts: DataFrame, key: str, n: str, rows_per_task: int = ROWS_PER_
 def add_salt(big: DataFrame, hot: DataFrame, key: str, by: Column) -> DataFrame:
     """Give each row of a hot key one of ``fan`` salts; other rows get salt 0."""
     return (
-        big.join(F.broadcast(hot), key, "left")
+        big.join(hot, key, "left")
         .withColumn("salt", F.coalesce(F.pmod(by, F.col("fan")).cast("int"), F.lit(0)))
         .drop("fan")
     )
@@ -31,7 +31,7 @@ def add_salt(big: DataFrame, hot: DataFrame, key: str, by: Column) -> DataFrame:
 def copy_per_salt(small: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """Repeat each row of a hot key once per salt, so that it meets every part."""
     return (
-        small.join(F.broadcast(hot), key, "left")
+        small.join(hot, key, "left")
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("fan"), F.lit(1)) - 1)))
         .drop("fan")
     )

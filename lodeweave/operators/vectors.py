@@ -218,10 +218,10 @@ def lsh(
     return probe(placed, probes, k, id_col, "lsh", repeats=tables)
 
 
-def mmr(hits: DataFrame, vectors: DataFrame, k: int = 5, lam: float = 0.7, pool: int = 50, id_col: str = "chunk_id") -> DataFrame:
-    """Re-rank each question's best ``pool`` hits by maximal marginal relevance
-    (Carbonell & Goldstein 1998). Groups hold at most ``pool`` rows."""
-    rows = hits.where(F.col("rank") <= pool).join(vectors.select(id_col, "embedding"), id_col)
+def mmr(hits: DataFrame, vectors: DataFrame, k: int = 5, lam: float = 0.7, pool: int | None = None, id_col: str = "chunk_id") -> DataFrame:
+    """Re-rank each question's hits, or the best ``pool`` of them, by maximal marginal relevance
+    (Carbonell & Goldstein 1998). A group holds one question's hits."""
+    rows = (hits if pool is None else hits.where(F.col("rank") <= pool)).join(vectors.select(id_col, "embedding"), id_col)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank").reset_index(drop=True)

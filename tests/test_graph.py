@@ -76,6 +76,8 @@ def test_k_core(spark):
     both = iterate.symmetric(edges(spark, CLIQUES + [("a", "tail"), ("tail", "end")]))
     left = {r["src"] for r in iterate.k_core(both, 3).collect()}
     assert left == set("abcdefgh")
+    path = [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(30)]
+    assert iterate.k_core(iterate.symmetric(edges(spark, path)), 2).count() == 0
 
 
 def test_match_needs_a_shared_variable(spark):
