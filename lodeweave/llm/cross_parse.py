@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import pieces
+from lodeweave.llm.common import pieces, table
 
 # Bounds of the labelled sample per language.
 DOCS = 200
@@ -166,10 +166,15 @@ def _letters() -> np.ndarray:
 def training_sample(labelled: DataFrame, docs: int = DOCS) -> dict[str, list[str]]:
     """At most ``docs`` texts per language, chosen by the hash of the text; each gives an equal part of the
     ``LETTERS`` that a language may use, more if there are fewer texts."""
-    order = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text")
+    order = W.partitionBy("lang").orderBy("place", "text")
+    # Texts that cannot be among the first are left out before the sort: the share of the hashes that holds four
+    # times as many is enough.
+    share = table(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(4.0 * docs) / F.count("*")).alias("share")), "languages")
     picked = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 4 * LETTERS // docs).alias("text"))
+        rows.select("lang", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("place"), F.substring(F.col("text").cast("string"), 1, 4 * LETTERS // docs).alias("text"))
+        .join(share, "lang")
+        .where(F.col("place") <= F.col("share") * (1 << 40))
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= docs)
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import pieces
+from lodeweave.llm.common import pieces, sample
 
 TRAIN_PAGES = 2000
 
@@ -265,8 +265,7 @@ def learn(pages: DataFrame, most: int = TRAIN_PAGES) -> dict[str, float]:
                 counts(page, table)
         yield pa.RecordBatch.from_pydict({"f": pa.array([f for f, _ in table], pa.string()), "y": pa.array([y for _, y in table], pa.bool_()), "n": pa.array(list(table.values()), pa.int64())})
 
-    h = F.xxhash64("html")
-    chosen = pages.select("html").where(F.col("html").isNotNull()).orderBy(h, "html").limit(most)
+    chosen = sample(pages.select("html").where(F.col("html").isNotNull()), F.col("html"), most)
     rows = chosen.repartition(8).mapInArrow(run, "f string, y boolean, n long").groupBy("f", "y").agg(F.sum("n").alias("n")).collect()  # a few dozen features
     return log_odds({(r["f"], r["y"]): r["n"] for r in rows})
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodeweave.llm.common import table
+from lodeweave.llm.common import sample, table
 
 SAMPLE = 20_000
 MAX_LISTS = 4096
@@ -113,10 +113,10 @@ class Lists:
 
 def fit(vectors: DataFrame, total: int, list_rows: int = LIST_ROWS) -> Lists | None:
     """Lists from at most ``SAMPLE`` vectors, chosen by the hash of their ids."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
-    if not sample:
+    chosen = sample(vectors, F.col("vec_id"), SAMPLE).select("v").toArrow()["v"].to_pylist()
+    if not chosen:
         return None
-    return Lists(np.array(sample), min(MAX_LISTS, max(1, total // list_rows), len(sample)))
+    return Lists(np.array(chosen), min(MAX_LISTS, max(1, total // list_rows), len(chosen)))
 
 
 def _matrix(column) -> np.ndarray:
