@@ -70,25 +70,28 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = C
 
 
 def drawn(rows: DataFrame) -> DataFrame:
-    """``rows`` of ``sized`` with the columns of ``targets`` and ``_m_copies``, how often each is taken."""
-    goals = table(targets(rows), "targets")
+    """``rows`` of ``sized`` with the columns of ``targets`` as ``_s_<name>`` and ``_m_copies``, how often each is taken."""
+    goals = targets(rows)
+    goals = table(goals.select("_s_key", *[F.col(c).alias(f"_s_{c}") for c in goals.columns if c != "_s_key"]), "targets")
     met = rows.join(goals, F.col("_m_key") == F.col("_s_key"))
-    p = F.least(F.lit(1.0), F.col("pull") * _bits())
+    p = F.least(F.lit(1.0), F.col("_s_pull") * _bits())
     odds = F.col("_m_u") / (1 - F.col("_m_u"))
     rank = F.when(p >= 1, 0.0).when(p <= 0, F.lit(float("inf"))).otherwise(odds / (p / (1 - p)))
     met = met.withColumn("_m_rank", rank).withColumn("_m_cell", F.when(F.col("_m_rank") == float("inf"), CELLS - 1).otherwise(F.floor(CELLS * F.col("_m_rank") / (1 + F.col("_m_rank")))).cast("int"))
-    cells = met.groupBy("_m_key", "_m_cell", "rest").agg(F.sum("_m_size").alias("n"))
+    cells = met.groupBy("_m_key", "_m_cell", "_s_rest").agg(F.sum("_m_size").alias("n"))
     upto = cells.withColumn("upto", F.sum("n").over(W.partitionBy("_m_key").orderBy("_m_cell")))
-    # The first cell at whose end the rest is reached; none if all of the source is too little.
-    ends = upto.where(F.col("upto") >= F.col("rest")).groupBy("_m_key").agg(F.min(F.struct("_m_cell", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
+    # The first cell at whose end the rest is reached; none if all of the source is too little, or if there is no rest:
+    # then all ranks are infinite, and one cell would hold the whole source.
+    ends = upto.where((F.col("_s_rest") > 0) & (F.col("upto") >= F.col("_s_rest"))).groupBy("_m_key").agg(F.min(F.struct("_m_cell", (F.col("upto") - F.col("n")).alias("before"))).alias("e"))
     ends = table(ends.select(F.col("_m_key").alias("_e_key"), F.col("e._m_cell").alias("_e_cell"), F.col("e.before").alias("_e_before")), "cells")
     found = met.join(ends, F.col("_m_key") == F.col("_e_key"), "left")
-    plain = found.where(F.col("_e_cell").isNull() | (F.col("_m_cell") != F.col("_e_cell"))).withColumn("_m_more", (F.col("_e_cell").isNull() | (F.col("_m_cell") < F.col("_e_cell"))).cast("int"))
+    plain = found.where(F.col("_e_cell").isNull() | (F.col("_m_cell") != F.col("_e_cell")))
+    plain = plain.withColumn("_m_more", ((F.col("_s_rest") > 0) & (F.col("_e_cell").isNull() | (F.col("_m_cell") < F.col("_e_cell")))).cast("int"))
     order = W.partitionBy("_m_key").orderBy("_m_rank", "_m_id", "_m_size").rowsBetween(W.unboundedPreceding, -1)
     last = found.where(F.col("_m_cell") == F.col("_e_cell")).withColumn("_m_so_far", F.col("_e_before") + F.coalesce(F.sum("_m_size").over(order), F.lit(0)))
     # The document in which the rest is reached is taken if more than half of it fits.
-    last = last.withColumn("_m_more", (2 * F.col("_m_so_far") + F.col("_m_size") <= 2 * F.col("rest")).cast("int")).drop("_m_so_far")
-    return plain.unionByName(last).withColumn("_m_copies", F.col("copies") + F.col("_m_more"))
+    last = last.withColumn("_m_more", (2 * F.col("_m_so_far") + F.col("_m_size") <= 2 * F.col("_s_rest")).cast("int")).drop("_m_so_far")
+    return plain.unionByName(last).withColumn("_m_copies", F.col("_s_copies") + F.col("_m_more"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -99,7 +102,7 @@ def mix(docs: DataFrame) -> DataFrame:
     taken in any order among themselves. Other columns are ignored.
     """
     rows = table(sized(docs, F.col("doc_id").cast("long").alias("doc_id")), "sizes")
-    return drawn(rows).select("doc_id", F.col("_m_size").alias("size"), "source_size", "target", (F.col("_m_copies") * F.col("_m_size")).alias("taken"))
+    return drawn(rows).select("doc_id", F.col("_m_size").alias("size"), F.col("_s_source_size").alias("source_size"), F.col("_s_target").alias("target"), (F.col("_m_copies") * F.col("_m_size")).alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
