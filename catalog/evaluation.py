@@ -44,7 +44,7 @@ def ann_recall(spark, d):
         evaluate.ann_recall(vectors.ivf(q, v, 5), exact, 5).withColumn("via", F.lit("ivf")),
         evaluate.ann_recall(vectors.lsh(q, v, 5), exact, 5).withColumn("via", F.lit("lsh")),
     ]
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).withColumn("recall", F.round("recall", 6))
 
 
 def context_coverage(spark, d):
@@ -76,6 +76,12 @@ SELECT q_id, round(dcg, 6) AS dcg, round(ideal, 6) AS ideal, round(dcg / ideal,
   SELECT q_id, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)), 0)::DOUBLE AS dcg,
          list_sum(list_transform(range(1, least(count(*), 5) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) AS ideal
   FROM truth LEFT JOIN (SELECT * FROM doc_ranks WHERE rank <= 5) USING (q_id, doc_id) GROUP BY q_id)""")
+SQL["ann_recall"] = with_ctes("""
+SELECT count(*) AS n_questions, round(avg(r), 6) AS recall, via FROM (
+  SELECT via, q_id, avg((h.found IS NOT NULL)::INTEGER) AS r
+  FROM (SELECT q_id, id, v.via FROM exact_hits, (SELECT unnest(['ivf', 'lsh']) AS via) v)
+  LEFT JOIN (SELECT q_id, id, 'ivf' AS via, 1 AS found FROM ivf_hits UNION ALL SELECT q_id, id, 'lsh', 1 FROM lsh_hits) h USING (q_id, id, via)
+  GROUP BY ALL) GROUP BY via""")
 SQL["context_coverage"] = with_ctes("""
 SELECT q_id, count(*) AS n_true, count(k.doc_id) AS n_kept, round(count(k.doc_id) / count(*), 6) AS coverage
 FROM truth t LEFT JOIN (SELECT DISTINCT q_id, split_part(chunk_id, ':', 1)::BIGINT AS doc_id FROM packed) k USING (q_id, doc_id) GROUP BY q_id""")

@@ -20,7 +20,7 @@ def _vectors(spark, d):
 
 def _tfidf(spark, d, k=10):
     i = base.index(spark, d)
-    return retrieve.tfidf(base.questions(spark, d), i["postings"], i["stats"], k, rarity=i["rarity"])
+    return retrieve.tfidf(base.questions(spark, d), i["postings"], i["stats"], k, rarity=i["rarity"], norms=i["norms"])
 
 
 def local_hits(spark, d):
@@ -97,7 +97,8 @@ def ppr_graph_search(spark, d):
 
 
 def global_graph_search(spark, d):
-    return retrieve.global_search(base.questions(spark, d), base.index(spark, d)["reports"])
+    i = base.index(spark, d)
+    return retrieve.global_search(base.questions(spark, d), i["reports"], i["terms"])
 
 
 for _f in (
@@ -129,6 +130,50 @@ SELECT q_id, id, score, rank, 'vector' AS via FROM (
     SELECT a.id AS q_id, b.id AS id,
            round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score
     FROM v a JOIN v b ON a.id <> b.id)) WHERE rank <= 5"""
+_TOP5 = """
+    SELECT q_id, id, score, rank, '{via}' AS via FROM (
+      SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id)::INTEGER AS rank FROM (
+        SELECT DISTINCT a.id AS q_id, b.id AS id, round(list_dot_product(a.u, b.u), 6) AS score FROM {pairs})) WHERE rank <= 5"""
+cte("units", """
+    SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u
+    FROM (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)""")
+cte("exact_hits", _TOP5.format(via="vector", pairs="units a, units b"))
+# Lists: the vectors of least hash as pivots, then three rounds of means.
+cte("pivot0", "SELECT id AS list, u AS p FROM units ORDER BY md5(id::VARCHAR), id LIMIT (SELECT ceil(sqrt(count(*)))::BIGINT FROM units)")
+for _r in range(4):
+    cte(f"placed{_r}", f"""
+        SELECT id, u, list FROM (SELECT id, u, list, row_number() OVER (PARTITION BY id ORDER BY list_distance(u, p), list) AS r FROM units, pivot{_r}) WHERE r = 1""")
+    cte(f"pivot{_r + 1}", f"""
+        SELECT list, list(m ORDER BY i) AS p FROM (SELECT list, i, avg(u[i]) AS m FROM placed{_r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY list""")
+cte("probed", "SELECT id, u, list FROM (SELECT id, u, list, row_number() OVER (PARTITION BY id ORDER BY list_distance(u, p), list) AS r FROM units, pivot3) WHERE r <= 4")
+cte("ivf_hits", _TOP5.format(via="ivf", pairs="probed a JOIN placed3 b USING (list)"))
+# Planes: bits of md5 as signs, first bit of a digit first.
+cte("plane", """
+    SELECT t, b, list_transform(range(64), lambda i: CASE WHEN (('0x' || h[i // 4 + 1])::INTEGER >> (3 - i % 4)) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w
+    FROM (SELECT t, b, md5(t || ':' || b || ':0') AS h FROM range(8) tt(t), range((SELECT greatest(1, ceil(log2(count(*) / 8.0)))::BIGINT FROM embeddings)) bb(b))""")
+cte("coded", "SELECT id, u, t, sum((list_dot_product(u, w) > 0)::BIGINT << b) AS code FROM units, plane GROUP BY ALL")
+cte("lsh_hits", _TOP5.format(via="lsh", pairs="coded a JOIN coded b USING (t, code)"))
+SQL["ivf_topk"] = with_ctes("SELECT q_id, id, score, rank, via FROM ivf_hits")
+SQL["lsh_topk"] = with_ctes("SELECT q_id, id, score, rank, via FROM lsh_hits")
+# Diversity: five rounds, each takes the best and brings the rest nearer to it.
+cte("pool", "SELECT q_id, chunk_id, rank, score / max(score) OVER (PARTITION BY q_id) AS rel FROM bm25_ranked WHERE rank <= 30")
+cte("pool_w", """
+    SELECT chunk_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS i, sum((1 + ln(tf)) * ln(1 + n / df)) AS w
+    FROM (SELECT DISTINCT chunk_id FROM pool) JOIN posts USING (chunk_id) JOIN chunk_df USING (term), stats GROUP BY ALL""")
+cte("pool_e", """
+    SELECT chunk_id, list(coalesce(w, 0) / norm ORDER BY i) AS e
+    FROM (SELECT chunk_id, norm, i FROM (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM pool_w GROUP BY chunk_id), (SELECT unnest(range(64)) AS i))
+    LEFT JOIN pool_w USING (chunk_id, i) GROUP BY chunk_id""")
+cte("mmr0", "SELECT q_id, chunk_id, rank, rel, e, 0.0::DOUBLE AS closest FROM pool JOIN pool_e USING (chunk_id)")
+for _r in range(1, 6):
+    cte(f"mmr_pick{_r}", f"""
+        SELECT q_id, chunk_id, e, gain FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY gain DESC, rank) AS r FROM (
+          SELECT *, round(0.7::DOUBLE * rel - (1 - 0.7::DOUBLE) * closest, 9) AS gain FROM mmr{_r - 1})) WHERE r = 1""")
+    cte(f"mmr{_r}", f"""
+        SELECT m.q_id, m.chunk_id, m.rank, m.rel, m.e, greatest(m.closest, list_dot_product(m.e, p.e)) AS closest
+        FROM mmr{_r - 1} m JOIN mmr_pick{_r} p ON p.q_id = m.q_id WHERE p.chunk_id <> m.chunk_id""")
+SQL["mmr_rerank"] = with_ctes(" UNION ALL ".join(
+    f"SELECT q_id, chunk_id, round(gain, 6) AS score, {_r}::INTEGER AS rank, 'mmr' AS via FROM mmr_pick{_r}" for _r in range(1, 6)))
 SQL["rrf_fuse"] = with_ctes(f"""
 SELECT q_id, chunk_id, score, rank, via FROM (
   SELECT *, {_RANK} AS rank FROM (
@@ -177,19 +222,21 @@ cte("report_entities", """
     SELECT community, string_agg(entity, ', ' ORDER BY r) AS entities FROM (
       SELECT community, entity, row_number() OVER (PARTITION BY community ORDER BY sum(n) DESC, entity) AS r
       FROM seen GROUP BY community, entity) WHERE r <= 5 GROUP BY community""")
-cte("report_terms", r"""
-    SELECT * FROM (SELECT community, term, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS r FROM (
-      SELECT community, term, sum(tf)::BIGINT AS n FROM (SELECT DISTINCT community, chunk_id FROM seen) JOIN posts USING (chunk_id)
-      GROUP BY ALL)) WHERE r <= 20""")
+cte("report_words", """
+    SELECT community, term, sum(tf)::BIGINT AS n FROM (SELECT DISTINCT community, chunk_id FROM seen) JOIN posts USING (chunk_id) GROUP BY ALL""")
+cte("report_terms", """
+    SELECT * FROM (SELECT community, term, n, row_number() OVER (PARTITION BY community ORDER BY n DESC, term) AS r FROM report_words) WHERE r <= 20""")
+cte("report_sizes", "SELECT community, sum(n)::BIGINT AS dl FROM report_words GROUP BY community")
 cte("sentences", r"""
     SELECT community, chunk_id, i AS pos, ss[i] AS sentence FROM (
       SELECT community, chunk_id, ss, unnest(range(1, len(ss) + 1)) AS i
       FROM (SELECT community, chunk_id, string_split_regex(text, '[.!?]+ *') AS ss FROM central)) WHERE trim(ss[i]) <> ''""")
 cte("report_lines", r"""
     SELECT community, string_agg(sentence, '. ' ORDER BY r) AS summary FROM (
-      SELECT community, sentence, row_number() OVER (PARTITION BY community ORDER BY count(*) DESC, chunk_id, pos) AS r
-      FROM (SELECT DISTINCT community, chunk_id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '\p{L}+')) AS node FROM sentences)
-      JOIN member USING (community, node) GROUP BY community, chunk_id, pos, sentence) WHERE r <= 2 GROUP BY community""")
+      SELECT community, sentence, row_number() OVER (PARTITION BY community ORDER BY max(n) DESC, min({'c': chunk_id, 'p': pos})) AS r FROM (
+        SELECT community, chunk_id, pos, sentence, count(*) AS n
+        FROM (SELECT DISTINCT community, chunk_id, pos, sentence, unnest(regexp_extract_all(lower(sentence), '\p{L}+')) AS node FROM sentences)
+        JOIN member USING (community, node) GROUP BY ALL) GROUP BY community, sentence) WHERE r <= 2 GROUP BY community""")
 cte("report_rows", """
     SELECT community, n_nodes, entities, coalesce(summary, '') AS summary
     FROM (SELECT community, count(*) AS n_nodes FROM member GROUP BY community)
@@ -198,6 +245,6 @@ SQL["global_graph_search"] = with_ctes("""
 SELECT q_id, string_agg(community, ',' ORDER BY rank) AS communities, max(score) AS best_score,
        string_agg(summary, chr(10) ORDER BY rank) AS answer
 FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, community) AS rank FROM (
-    SELECT q_id, community, round(sum(n / total), 6) AS score
-    FROM report_terms JOIN qterms USING (term) JOIN (SELECT community, sum(n) AS total FROM report_terms GROUP BY community) USING (community)
-    GROUP BY ALL)) JOIN report_rows USING (community) WHERE rank <= 3 GROUP BY q_id""")
+    SELECT q_id, community, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * (n * 2.2) / (n + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM qterms JOIN report_words USING (term) JOIN (SELECT term, count(*) AS df FROM report_words GROUP BY term) USING (term)
+    JOIN report_sizes USING (community), (SELECT count(*) AS c, avg(dl) AS avgdl FROM report_sizes) GROUP BY ALL)) JOIN report_rows USING (community) WHERE rank <= 3 GROUP BY q_id""")

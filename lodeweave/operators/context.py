@@ -32,10 +32,20 @@ def cite(packed: DataFrame) -> DataFrame:
     )
 
 
+def community_terms(membership: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(community, term, n)``: all terms of the chunks that mention a community."""
+    of = membership.select(F.col("node").alias("entity"), "community")
+    # Terms are counted within a chunk before its communities multiply them.
+    counted = chunks.select("chunk_id", F.explode(tx.terms("text")).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    seen = mentions.join(of, "entity").select("community", "chunk_id").distinct()
+    return seen.join(counted, "chunk_id").groupBy("community", "term").agg(F.sum("tf").alias("n"))
+
+
 def community_reports(
     membership: DataFrame,
     mentions: DataFrame,
     chunks: DataFrame,
+    all_terms: DataFrame | None = None,
     n_entities: int = 5,
     n_chunks: int = 3,
     n_terms: int = 20,
@@ -43,8 +53,8 @@ def community_reports(
 ) -> DataFrame:
     """Extractive report of each community: ``(community, n_nodes, entities, report_terms, summary)``.
 
-    ``mentions`` are ``(entity, chunk_id, n)``. Terms are counted over all chunks that mention the community; the
-    sentences come from its central chunks, those with the most mentions. All lists are top-k.
+    ``mentions`` are ``(entity, chunk_id, n)``. Terms are those of ``community_terms`` (``all_terms`` if stored); the
+    sentences, each once, come from its central chunks, those with the most mentions. All lists are top-k.
     """
     of = membership.select(F.col("node").alias("entity"), "community")
     seen = mentions.join(of, "entity")
@@ -65,11 +75,7 @@ def community_reports(
         .join(chunks.select("chunk_id", "text"), "chunk_id"),
         "central",
     )
-    # Terms are counted within a chunk before its communities multiply them.
-    counted = chunks.select("chunk_id", F.explode(tx.terms("text")).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-    words = (
-        seen.select("community", "chunk_id").distinct().join(counted, "chunk_id").groupBy("community", "term").agg(F.sum("tf").alias("n"))
-    )
+    words = community_terms(membership, mentions, chunks) if all_terms is None else all_terms
     terms = best(words, n_terms, F.col("n").desc(), "term")
     sentences = central.select(
         "community", "chunk_id", F.posexplode(F.split("text", r"[.!?]+ *")).alias("pos", "sentence")
@@ -80,7 +86,9 @@ def community_reports(
         .groupBy("community", "chunk_id", "pos", "sentence")
         .agg(F.count("*").alias("n"))
     )
-    lines = best(held, n_sentences, F.col("n").desc(), "chunk_id", "pos")
+    # Windows overlap, so a sentence may stand in several chunks.
+    once = held.groupBy("community", "sentence").agg(F.max("n").alias("n"), F.min(F.struct("chunk_id", "pos")).alias("at"))
+    lines = best(once, n_sentences, F.col("n").desc(), "at")
 
     def listed(rows: DataFrame, value, name: str) -> DataFrame:
         return rows.groupBy("community").agg(

@@ -317,28 +317,17 @@ def ppr_search(
     return top_k(scored, k, "ppr")
 
 
-def global_search(questions: DataFrame, reports: DataFrame, k: int = 3) -> DataFrame:
+def global_search(questions: DataFrame, reports: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:
     """Rank community reports for each question and combine the best (the map and
     reduce shape of Edge et al. 2024, with no model).
 
-    A report scores the sum over its terms shared with the question of their
-    share of the report. The result is one row per question with the best
-    communities and their joined summaries. ``reports`` are ``(community, report_terms, summary)``
-    with ``report_terms`` an array of ``(term, n)`` of fixed length.
+    A report scores by BM25 over all its terms, ``terms`` ``(community, term, n)``. The result is one row per
+    question with the best communities and their joined summaries. ``reports`` are ``(community, summary)``.
     """
-    rows = reports.select("community", F.explode("report_terms").alias("t")).select(
-        "community", "t.term", "t.n"
-    )
-    total = reports.select(
-        "community", F.aggregate("report_terms", F.lit(0).cast("bigint"), lambda a, t: a + t["n"]).alias("total")
-    )
-    scored = (
-        rows.join(question_terms(questions), "term")
-        .join(total, "community")
-        .groupBy("q_id", "community")
-        .agg(F.sum(F.col("n") / F.col("total")).alias("score"))
-    )
-    best = top_k(scored, k, "global", ties="community")
+    sizes = cut(terms.groupBy("community").agg(F.sum("n").alias("dl")))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    post = terms.join(sizes, "community").select("term", F.col("community").alias("chunk_id"), F.col("n").alias("tf"), "dl")
+    best = bm25(questions, post, stats, k).withColumnRenamed("chunk_id", "community")
     return (
         best.join(reports.select("community", "summary"), "community")
         .groupBy("q_id")

@@ -6,11 +6,10 @@ Questions are ``(q_id, embedding)``; vectors are ``(id, embedding)``.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,7 +17,23 @@ from pyspark.sql import Window as W
 from lodeweave.functions.vector import dot, norm
 from lodeweave.operators.retrieve import SCORE_DIGITS, top_k
 from lodeweave.operators.skew import ROWS_PER_TASK, hot_keys, salted_join
-from lodeweave.session import cut
+from lodeweave.session import cut, discard
+
+
+#: Most lists that a task holds the pivots of.
+MAX_LISTS = 4096
+#: Vectors that a hyperplane bucket is meant to hold.
+BUCKET_ROWS = 8
+
+
+def list_count(vectors: DataFrame) -> int:
+    """Lists for a number of vectors: its square root, so lists and pivots grow alike."""
+    return max(1, min(MAX_LISTS, math.ceil(math.sqrt(vectors.count()))))
+
+
+def code_bits(n: int) -> int:
+    """Bits of a bucket code that leave about ``BUCKET_ROWS`` of ``n`` vectors in a bucket, however many there are."""
+    return max(1, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
 
 
 def unit(df: DataFrame, col: str = "embedding") -> DataFrame:
@@ -34,15 +49,9 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def assign_lists(vectors: DataFrame, n_lists: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Put each unit vector in the list of its nearest pivot.
-
-    Pivots are the ``n_lists`` vectors with the least hash of their id. They reach the
-    vectors as one scalar value of fixed size, so nothing is shuffled. Returns
-    ``(id, embedding, list, dist)`` and the pivots ``(list, pivot)``.
-    """
-    picked = vectors.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(n_lists)
-    pivots = cut(picked.select(F.col(id_col).alias("list"), F.col("embedding").alias("pivot")))
+def place(vectors: DataFrame, pivots: DataFrame, id_col: str = "id") -> DataFrame:
+    """``(id, embedding, list, dist)``: each vector in the list of its nearest pivot ``(list, pivot)``. The pivots,
+    at most ``MAX_LISTS``, reach the vectors as one scalar value, so nothing is shuffled."""
     packed = pivots.agg(F.array_sort(F.collect_list(F.struct("list", "pivot"))).alias("ps")).scalar()
     nearest = F.array_min(
         F.transform("ps", lambda p: F.struct(_squared(F.col("embedding"), p["pivot"]).alias("d2"), p["list"].alias("list")))
@@ -52,14 +61,36 @@ def assign_lists(vectors: DataFrame, n_lists: int, id_col: str = "id") -> tuple[
         .select(id_col, "embedding", nearest.alias("n"))
         .select(id_col, "embedding", F.col("n.list").alias("list"), F.sqrt("n.d2").alias("dist"))
     )
-    return cut(placed), pivots
+    return cut(placed)
+
+
+def assign_lists(vectors: DataFrame, n_lists: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Put each unit vector in the list of its nearest pivot; pivots are the ``n_lists`` vectors with the least
+    hash of their id. Returns ``(id, embedding, list, dist)`` and the pivots ``(list, pivot)``."""
+    picked = vectors.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(n_lists)
+    pivots = cut(picked.select(F.col(id_col).alias("list"), F.col("embedding").alias("pivot")))
+    return place(vectors, pivots, id_col), pivots
+
+
+def mean_lists(vectors: DataFrame, n_lists: int, rounds: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``assign_lists`` followed by ``rounds`` of Lloyd's algorithm: the mean of a list is its next pivot. A list
+    that loses all its vectors goes. The rounds have no random part."""
+    placed, pivots = assign_lists(vectors, n_lists, id_col)
+    dim = placed.agg(F.max(F.size("embedding"))).first()[0] or 0
+    for _ in range(rounds if dim else 0):
+        means = placed.groupBy("list").agg(F.array(*[F.avg(F.col("embedding")[i]) for i in range(dim)]).alias("pivot"))
+        old, pivots = (placed, pivots), cut(means)
+        placed = place(vectors, pivots, id_col)
+        for table in old:
+            discard(table)
+    return placed, pivots
 
 
 def knn(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    n_lists: int = 16,
+    n_lists: int | None = None,
     id_col: str = "id",
     exclude_self: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
@@ -71,7 +102,8 @@ def knn(
     whose pivot is farther than bound plus list radius cannot improve on it,
     so only the other lists are joined. All joins are equi-joins on the list.
     """
-    placed, pivots = assign_lists(unit(vectors.select(id_col, "embedding")), n_lists, id_col)
+    v = unit(vectors.select(id_col, "embedding"))
+    placed, pivots = assign_lists(v, n_lists or list_count(v), id_col)
     q = cut(unit(questions.select("q_id", "embedding")))
     lists = cut(placed.groupBy("list").agg(F.max("dist").alias("radius"), F.count("*").alias("n")))
     about = cut(lists.join(pivots, "list"))
@@ -103,14 +135,15 @@ def knn(
             rows = rows.where(F.col("q_id") != F.col(id_col))
         return rows.select("q_id", id_col, F.round(dot("qv", "embedding"), SCORE_DIGITS).alias("score"))
 
-    first = top_k(compare(reach.where(F.col("before") < want).select("q_id", "list")), k, "vector", ties=id_col)
+    first = cut(top_k(compare(reach.where(F.col("before") < want).select("q_id", "list")), k, "vector", ties=id_col))
     bound = first.groupBy("q_id").agg(F.min("score").alias("worst"), F.count("*").alias("n_first"))
     # |q - v|^2 = 2 - 2 cos; the slack covers rounding of the score.
     limit = 2 - 2 * F.col("worst") + 4e-6
-    second = reach.join(bound, "q_id", "left").where(
+    second = reach.where(F.col("before") >= want).join(bound, "q_id", "left").where(
         F.col("worst").isNull() | (F.col("n_first") < k) | (F.col("low") * F.col("low") <= limit)
     )
-    return top_k(compare(second.select("q_id", "list")), k, "vector", ties=id_col)
+    more = compare(second.select("q_id", "list"))
+    return top_k(first.select("q_id", id_col, "score").unionByName(more), k, "vector", ties=id_col)
 
 
 def _spread(pairs: DataFrame) -> DataFrame:
@@ -148,28 +181,29 @@ def ivf(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    n_lists: int = 16,
+    n_lists: int | None = None,
     n_probe: int = 4,
     id_col: str = "id",
-    seed: int = 7,
+    rounds: int = 3,
 ) -> DataFrame:
-    """Approximate best ``k`` over the ``n_probe`` nearest k-means lists (Jégou et al. 2011)."""
-    v = unit(vectors.select(id_col, "embedding"))
+    """Approximate best ``k`` over the ``n_probe`` nearest lists (Jégou et al. 2011)."""
+    v = cut(unit(vectors.select(id_col, "embedding")))
     q = unit(questions.select("q_id", "embedding"))
-    train = v.select(id_col, "embedding", array_to_vector("embedding").alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=10, featuresCol="features", predictionCol="list").fit(train)
-    placed = cut(model.transform(train).select(id_col, "embedding", "list"))
-    centers = [[float(x) for x in c] for c in model.clusterCenters()]
-    table = F.array(*[F.struct(F.lit(i).alias("list"), F.array(*map(F.lit, c)).alias("c")) for i, c in enumerate(centers)])
+    placed, pivots = mean_lists(v, n_lists or list_count(v), rounds, id_col)
+    packed = pivots.agg(F.array_sort(F.collect_list(F.struct("list", "pivot"))).alias("ps")).scalar()
     near = F.slice(
         F.array_sort(
-            F.transform(table, lambda p: F.struct(_squared(F.col("embedding"), p["c"]).alias("d"), p["list"].alias("list")))
+            F.transform("ps", lambda p: F.struct(_squared(F.col("embedding"), p["pivot"]).alias("d"), p["list"].alias("list")))
         ),
         1,
         n_probe,
     )
-    probes = q.select("q_id", F.col("embedding").alias("qv"), F.explode(near).alias("p")).select("q_id", "qv", "p.list")
-    return probe(placed, probes, k, id_col, "ivf")
+    probes = (
+        q.select("q_id", "embedding", packed.alias("ps"))
+        .select("q_id", F.col("embedding").alias("qv"), F.explode(near).alias("p"))
+        .select("q_id", "qv", "p.list")
+    )
+    return probe(placed.drop("dist"), probes, k, id_col, "ivf")
 
 
 def planes(dim: int, bits: int, tables: int) -> np.ndarray:
@@ -205,7 +239,7 @@ def lsh(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 10,
-    bits: int = 6,
+    bits: int | None = None,
     tables: int = 8,
     dim: int = 64,
     id_col: str = "id",
@@ -213,6 +247,7 @@ def lsh(
     """Approximate best ``k`` among vectors that share a random-hyperplane bucket."""
     v = unit(vectors.select(id_col, "embedding"))
     q = unit(questions.select("q_id", "embedding"))
+    bits = bits or code_bits(vectors.count())
     placed = cut(bucket_codes(v, id_col, dim, bits, tables))
     probes = bucket_codes(q, "q_id", dim, bits, tables).withColumnRenamed("embedding", "qv")
     return probe(placed, probes, k, id_col, "lsh", repeats=tables)

@@ -17,10 +17,13 @@ class Index:
     ``postings`` ``(term, chunk_id, tf, dl)``
     ``rarity``   ``(term, df)`` by chunk
     ``stats``    one row ``(n, avgdl)``
+    ``norms``    ``(chunk_id, norm)`` of the tf-idf vectors
+    ``vectors``  ``(chunk_id, embedding)`` by hashed terms
     ``mentions`` ``(entity, chunk_id, n)``
     ``weights``  mentions with tf-idf weight
     ``edges``    entity co-occurrence, both directions
     ``members``  ``(node, community)``
+    ``terms``    ``(community, term, n)``, all terms of a community
     ``reports``  community reports
     ============ =====================================================
     """
@@ -52,6 +55,12 @@ class Index:
     def _stats(self) -> DataFrame:
         return retrieve.corpus_stats(self["chunks"])
 
+    def _norms(self) -> DataFrame:
+        return retrieve.chunk_norms(self["postings"], self["stats"], self["rarity"])
+
+    def _vectors(self) -> DataFrame:
+        return retrieve.hash_embed(self["chunks"], self["rarity"], self["stats"].select("n").scalar())
+
     def _mentions(self) -> DataFrame:
         return graph_build.entities_in(self["postings"], graph_build.entity_band(self.docs))
 
@@ -64,13 +73,16 @@ class Index:
     def _members(self) -> DataFrame:
         return iterate.communities(self["edges"], self.rounds)
 
+    def _terms(self) -> DataFrame:
+        return context.community_terms(self["members"], self["mentions"], self["chunks"])
+
     def _reports(self) -> DataFrame:
-        return context.community_reports(self["members"], self["mentions"], self["chunks"])
+        return context.community_reports(self["members"], self["mentions"], self["chunks"], self["terms"])
 
 
 def build_index(spark: SparkSession, docs: DataFrame, root: str | None = None) -> Index:
     """Build every table now, in dependency order."""
     index = Index(spark, docs, root)
-    for name in ("chunks", "postings", "rarity", "stats", "mentions", "weights", "edges", "members", "reports"):
+    for name in ("chunks", "postings", "rarity", "stats", "norms", "vectors", "mentions", "weights", "edges", "members", "terms", "reports"):
         index[name]
     return index
