@@ -118,3 +118,21 @@ def test_ask(spark, sf):
     out = ask(base.questions(spark, sf), base.index(spark, sf), fn=context.first_passage)
     rows = out.collect()
     assert len(rows) == 40 and all(r["prompt"] for r in rows)
+
+
+def test_each_route_runs_its_own_searches(spark, sf):
+    from lodeweave.plans.ask import SEARCHES, retrieve_routed
+
+    index, asked = base.index(spark, sf), base.questions(spark, sf)
+    names = list(SEARCHES)
+    routed = asked.select("q_id", F.element_at(F.array(*map(F.lit, names)), (F.col("q_id") % len(names) + 1).cast("int")).alias("route"))
+    rows = retrieve_routed(asked, routed, index, 5).join(routed, "q_id").collect()
+    assert {r["route"] for r in rows} == set(names)
+    for r in rows:
+        assert set(r["via"].split("+")) <= set(SEARCHES[r["route"]])
+
+
+def test_buckets_do_not_grow_with_the_vectors():
+    for n in (500, 5_000, 50_000, 5_000_000):
+        assert vectors.BUCKET_ROWS / 2 <= n / 2 ** vectors.code_bits(n) <= vectors.BUCKET_ROWS
+    assert vectors.code_bits(0) == vectors.code_bits(1) == 1

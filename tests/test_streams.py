@@ -43,6 +43,17 @@ def test_late_and_repeated_events(spark):
     assert run.late_rows(query) == 0
 
 
+def test_rows_behind_the_watermark_are_dropped_and_counted(spark):
+    path = new_path(spark, "events")
+    write_events(spark, path, [(1, 0, 1, "view"), (2, 600, 1, "view")])
+    write_events(spark, path, [(3, 610, 1, "view")])
+    write_events(spark, path, [(4, 5, 1, "view"), (5, 1200, 1, "view")])
+    stream = readers.stream_events(spark, path, max_files=1)
+    out, query = run.run_to_table(ev.windows(stream, "1 hour"), "windows")
+    assert sum(r["n"] for r in out.collect() if r["n"]) >= 1
+    assert run.late_rows(query) == 1
+
+
 def test_interval_join_bounds(spark):
     path = new_path(spark, "events")
     write_events(spark, path, [(1, 0, 1, "view"), (2, 60, 1, "purchase"), (3, 61, 1, "purchase"), (4, 10, 2, "purchase")])
