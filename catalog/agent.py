@@ -3,8 +3,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import base, retrieval
-from catalog.base import with_ctes
+from catalog.base import cte, with_ctes
 from lodeweave.operators import agent, ordered
+from lodeweave.session import new_path
 from lodeweave.sources import readers
 
 QUERIES: dict = {}
@@ -45,7 +46,8 @@ def contextual_question(spark, d):
 
 
 def step_trace(spark, d):
-    return agent.trace({"bm25": base.bm25_hits(spark, d), "local": retrieval.local_hits(spark, d)})
+    steps = {"bm25": iterative_retrieve(spark, d), "local": retrieval.local_hits(spark, d)}
+    return agent.log_trace(agent.trace(steps, route_questions(spark, d)), new_path(spark, "trace"), 1)
 
 
 for _f in (
@@ -54,36 +56,35 @@ for _f in (
 ):
     QUERIES[_f.__name__] = _f
 
-SQL["route_questions"] = with_ctes("""
+cte("routes", """
 SELECT *, CASE WHEN n_entities >= 2 THEN 'local' WHEN n_terms >= 30 THEN 'global' WHEN n_known > 0 THEN 'text' ELSE 'vector' END AS route
 FROM (SELECT q_id, (SELECT count(*) FROM qterms t WHERE t.q_id = q.q_id) AS n_terms,
              (SELECT count(*) FROM qterms t JOIN chunk_df USING (term) WHERE t.q_id = q.q_id) AS n_known,
              (SELECT count(*) FROM qents e WHERE e.q_id = q.q_id) AS n_entities FROM qs q)""")
+SQL["route_questions"] = with_ctes("SELECT * FROM routes")
 SQL["decompose_questions"] = r"""
 SELECT q_id, part, q_id || '.' || part AS sub_id, text FROM (
   SELECT q_id, (i - 1)::INTEGER AS part, trim(regexp_replace(ps[i], '[ \t\r\n\f]+', ' ', 'g')) AS text FROM (
     SELECT q_id, ps, unnest(range(1, len(ps) + 1)) AS i
     FROM (SELECT item_id AS q_id, string_split_regex(text, '[.?!;\n]+') AS ps FROM benchmark)))
 WHERE text <> ''"""
-SQL["iterative_retrieve"] = with_ctes(
-    """
-SELECT q_id, 1::INTEGER AS round, chunk_id, score, rank FROM first_hits
-UNION ALL SELECT q_id, 2::INTEGER, chunk_id, score, place FROM (
-  SELECT q_id, chunk_id, score, row_number() OVER (PARTITION BY q_id ORDER BY r)::INTEGER AS place
-  FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM second) WHERE r <= 10)
-  ANTI JOIN first_hits USING (q_id, chunk_id)) WHERE place <= 5""",
-    """
-first_hits AS MATERIALIZED (SELECT * FROM bm25_ranked WHERE rank <= 5),
-asked AS MATERIALIZED (
-  SELECT q_id, term FROM qterms UNION ALL
-  SELECT q_id, term FROM (
-    SELECT q_id, term, row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, sum(tf), term) AS r
-    FROM first_hits JOIN posts USING (chunk_id) ANTI JOIN qterms USING (q_id, term) GROUP BY q_id, term) WHERE r <= 3),
-second AS MATERIALIZED (
-  SELECT q_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
-         (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
-  FROM asked JOIN posts USING (term) JOIN chunk_df USING (term), stats GROUP BY q_id, chunk_id)""",
-)
+cte("it_first", "SELECT * FROM bm25_ranked WHERE rank <= 5")
+cte("it_asked", """
+    SELECT q_id, term FROM qterms UNION ALL
+    SELECT q_id, term FROM (
+      SELECT q_id, term, row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, sum(tf), term) AS r
+      FROM it_first JOIN posts USING (chunk_id) ANTI JOIN qterms USING (q_id, term) GROUP BY q_id, term) WHERE r <= 3""")
+cte("it_second", """
+    SELECT q_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
+           (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM it_asked JOIN posts USING (term) JOIN chunk_df USING (term), stats GROUP BY q_id, chunk_id""")
+cte("it_hits", """
+    SELECT q_id, 1::INTEGER AS round, chunk_id, score, rank FROM it_first
+    UNION ALL SELECT q_id, 2::INTEGER, chunk_id, score, place FROM (
+      SELECT q_id, chunk_id, score, row_number() OVER (PARTITION BY q_id ORDER BY r)::INTEGER AS place
+      FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS r FROM it_second) WHERE r <= 10)
+      ANTI JOIN it_first USING (q_id, chunk_id)) WHERE place <= 5""")
+SQL["iterative_retrieve"] = with_ctes("SELECT q_id, round, chunk_id, score, rank FROM it_hits")
 SQL["conversation_memory"] = r"""
 SELECT * FROM (
   SELECT conv_id, turn, role, n_pieces,
@@ -100,5 +101,8 @@ SELECT conv_id, turn, text, coalesce(array_to_string(list_sort(list_filter(list_
 FROM (SELECT u.conv_id, u.turn, any_value(u.text) AS text, any_value(u.ts) AS ts, flatten(list(b.ts) FILTER (WHERE b.turn IS NOT NULL)) AS before
       FROM t u LEFT JOIN t b ON b.conv_id = u.conv_id AND b.turn BETWEEN u.turn - 2 AND u.turn - 1 WHERE u.role = 'user' GROUP BY ALL)"""
 SQL["step_trace"] = with_ctes("""
-SELECT q_id, via AS step, count(*) AS n_hits, max(score) AS best
-FROM (SELECT q_id, via, score FROM bm25_hits UNION ALL SELECT q_id, via, score FROM local_hits) GROUP BY ALL""")
+SELECT q_id, round, step, route, count(*) AS n_hits, max(score) AS best, sum((r = 1)::INTEGER)::BIGINT AS gain, 1::BIGINT AS run FROM (
+  SELECT *, row_number() OVER (PARTITION BY q_id, chunk_id ORDER BY round, no) AS r FROM (
+    SELECT q_id, round, 0 AS no, 'bm25' AS step, chunk_id, score FROM it_hits
+    UNION ALL SELECT q_id, 1::INTEGER, 1, 'local', chunk_id, score FROM local_hits))
+JOIN routes USING (q_id) GROUP BY ALL""")

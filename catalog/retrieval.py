@@ -57,7 +57,16 @@ def rrf_fuse(spark, d):
 
 def filtered_topk(spark, d):
     c = retrieve.filtered(base.chunks(spark, d), F.col("lang") == "en")
-    return hits_out(retrieve.bm25(base.questions(spark, d), retrieve.postings(c), retrieve.corpus_stats(c), 5))
+    post = retrieve.within(base.index(spark, d)["postings"], c)
+    return hits_out(retrieve.bm25(base.questions(spark, d), post, retrieve.corpus_stats(c), 5))
+
+
+def filtered_vector_topk(spark, d):
+    """Exact search by vectors of hashed terms among the English chunks."""
+    i = base.index(spark, d)
+    asked = retrieve.hash_embed(base.questions(spark, d), i["rarity"], i["stats"].select("n").scalar(), "q_id")
+    allowed = retrieve.within(i["vectors"], retrieve.filtered(i["chunks"], F.col("lang") == "en"))
+    return hits_out(vectors.knn(asked, allowed, 5, id_col="chunk_id"))
 
 
 def hash_embed(spark, d):
@@ -102,7 +111,7 @@ def global_graph_search(spark, d):
 
 
 for _f in (
-    bm25_topk, tfidf_cosine_topk, vector_topk, ivf_topk, lsh_topk, rrf_fuse, filtered_topk, hash_embed,
+    bm25_topk, tfidf_cosine_topk, vector_topk, ivf_topk, lsh_topk, rrf_fuse, filtered_topk, filtered_vector_topk, hash_embed,
     parent_expand, hits_dedup, mmr_rerank, local_graph_search, ppr_graph_search, global_graph_search,
 ):
     QUERIES[_f.__name__] = _f
@@ -188,6 +197,19 @@ SELECT * FROM (SELECT q_id, chunk_id, score, {_RANK} AS rank, 'bm25' AS via FROM
        (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM chunk_toks JOIN chunks USING (chunk_id) WHERE lang = 'en')
   GROUP BY q_id, chunk_id)) WHERE rank <= 5""",
   "en_posts AS MATERIALIZED (SELECT * FROM posts WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang = 'en'))")
+cte("chunk_vec", """
+    SELECT chunk_id, i, w / sqrt(sum(w * w) OVER (PARTITION BY chunk_id)) AS w FROM (
+      SELECT chunk_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS i, sum((1 + ln(tf)) * ln(1 + n / df)) AS w
+      FROM posts JOIN chunk_df USING (term), stats GROUP BY ALL)""")
+cte("q_vec", r"""
+    SELECT q_id, i, w / sqrt(sum(w * w) OVER (PARTITION BY q_id)) AS w FROM (
+      SELECT q_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS i, sum((1 + ln(tf)) * ln(1 + n / df)) AS w
+      FROM (SELECT q_id, term, count(*) AS tf FROM (SELECT q_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS term FROM qs) GROUP BY ALL)
+      JOIN chunk_df USING (term), stats GROUP BY ALL)""")
+SQL["filtered_vector_topk"] = with_ctes(f"""
+SELECT q_id, chunk_id, score, rank, 'vector' AS via FROM (SELECT *, {_RANK} AS rank FROM (
+  SELECT q_id, chunk_id, round(sum(q.w * c.w), 6) AS score FROM q_vec q JOIN chunk_vec c USING (i)
+  WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE lang = 'en') GROUP BY q_id, chunk_id)) WHERE rank <= 5""")
 SQL["hash_embed"] = with_ctes(r"""
 SELECT doc_id, bucket::INTEGER AS bucket, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM (
   SELECT doc_id, ('0x' || md5(term)[1:8])::BIGINT % 64 AS bucket,

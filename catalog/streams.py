@@ -33,6 +33,11 @@ def stream_ingest(spark, d):
     return post.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
+def stream_ingest_graph(spark, d):
+    docs = readers.stream_documents(spark, readers.stream_path(d, "documents"))
+    return ingest.StreamIndex(spark).ingest(docs).edges()
+
+
 def event_windows(spark, d):
     out, _ = run.run_to_table(ev.windows(_events(spark, d), "1 hour"), "windows")
     return _plain(out).withColumn("total", F.round("total", 4))
@@ -84,7 +89,7 @@ def stream_retrieve(spark, d):
 
 
 for _f in (
-    stream_events, stream_ingest, event_windows, event_windows_sliding, event_sessions, stream_join,
+    stream_events, stream_ingest, stream_ingest_graph, event_windows, event_windows_sliding, event_sessions, stream_join,
     user_state, stream_graph, stream_retrieve,
 ):
     QUERIES[_f.__name__] = _f
@@ -92,6 +97,7 @@ for _f in (
 _MARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 SQL["stream_events"] = "SELECT * FROM events"
 SQL["stream_ingest"] = with_ctes("SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM posts GROUP BY term")
+SQL["stream_ingest_graph"] = with_ctes("SELECT src, dst, weight FROM edges")
 SQL["event_windows"] = f"""
 SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total
 FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_MARK} GROUP BY ALL"""

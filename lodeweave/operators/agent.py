@@ -134,11 +134,32 @@ def contextualize(turns: DataFrame, n: int = 2) -> DataFrame:
     )
 
 
-def trace(steps: Mapping[str, DataFrame]) -> DataFrame:
-    """``(q_id, step, n_hits, best)``: one row per question and step, from named hit lists."""
-    out = None
-    for name, hits in steps.items():
-        rows = hits.groupBy("q_id").agg(F.count("*").alias("n_hits"), F.max("score").alias("best"))
-        rows = rows.select("q_id", F.lit(name).alias("step"), "n_hits", "best")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def trace(steps: Mapping[str, DataFrame], routes: DataFrame | None = None) -> DataFrame:
+    """``(q_id, round, step, route, n_hits, best, gain)``: one row per question, round and step with hits.
+
+    ``steps`` are named hit lists in the order they ran; one without a ``round`` column is round 1. ``gain`` counts
+    the chunks that no earlier round of the question, and no earlier step of the same round, had found.
+    ``routes`` are ``(q_id, route)``; the route of a question without one is null.
+    """
+    rows = None
+    for no, (name, hits) in enumerate(steps.items()):
+        turn = F.col("round") if "round" in hits.columns else F.lit(1)
+        one = hits.select("q_id", turn.cast("int").alias("round"), F.lit(no).alias("no"), F.lit(name).alias("step"), "chunk_id", "score")
+        rows = one if rows is None else rows.unionByName(one)
+    found = W.partitionBy("q_id", "chunk_id").orderBy("round", "no")
+    out = (
+        rows.withColumn("new", (F.row_number().over(found) == 1).cast("bigint"))
+        .groupBy("q_id", "round", "step")
+        .agg(F.count("*").alias("n_hits"), F.max("score").alias("best"), F.sum("new").alias("gain"))
+    )
+    if routes is None:
+        return out.withColumn("route", F.lit(None).cast("string"))
+    return out.join(routes.select("q_id", "route"), "q_id", "left")
+
+
+def log_trace(steps: DataFrame, path: str, run: int) -> DataFrame:
+    """Append a trace to the log at ``path`` and read the log back, with ``run``. A run logged again replaces its
+    own rows only."""
+    steps.write.mode("overwrite").parquet(f"{path}/run={run}")
+    schema = steps.withColumn("run", F.lit(run).cast("bigint")).schema
+    return steps.sparkSession.read.schema(schema).parquet(path)

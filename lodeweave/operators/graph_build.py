@@ -61,9 +61,8 @@ def gazetteer_mentions(chunks: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5) -> DataFrame:
-    """``(entity, df)``: terms found in ``df_lo`` documents or more. Frequent ones stay and are weighted down by
-    those who rank with them.
+def term_documents(docs: DataFrame, min_len: int = 5) -> DataFrame:
+    """``(entity, df)``: terms long enough for an entity and in how many documents they are.
 
     Frequencies come from the distinct terms of each document row, so they need one
     partially aggregated count and no distinct across rows.
@@ -73,10 +72,15 @@ def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5) -> DataFrame:
         .where(F.length("entity") >= min_len)
         .groupBy("entity")
         .agg(F.count("*").alias("df"))
-        .where(F.col("df") >= df_lo)
     )
 
 
+def entity_band(docs: DataFrame, min_len: int = 5, df_lo: int = 5) -> DataFrame:
+    """``(entity, df)``: terms found in ``df_lo`` documents or more. Frequent ones stay and are weighted down by
+    those who rank with them."""
+    return term_documents(docs, min_len).where(F.col("df") >= df_lo)
+
+
 def entities_in(post: DataFrame, band: DataFrame, min_len: int = 5) -> DataFrame:
     """``(entity, chunk_id, n)``: the postings whose term is an entity."""
     found = post.select(F.col("term").alias("entity"), "chunk_id", F.col("tf").alias("n"))
@@ -182,6 +186,27 @@ def cooccur(mentions: DataFrame, min_count: int = 2) -> DataFrame:
     )
 
 
+def new_pairs(mentions: DataFrame) -> DataFrame:
+    """``(src, dst, n)`` with src < dst: pairs of entities in one chunk, one of them at least ``new``, and in how many
+    chunks. ``mentions`` are ``(entity, chunk_id, new)``, each entity once a chunk."""
+    pairs = F.flatten(
+        F.transform(
+            "es",
+            lambda a, i: F.transform(
+                F.filter(F.slice("es", i + 2, F.size("es")), lambda b: a["new"] | b["new"]),
+                lambda b: F.struct(a["entity"].alias("src"), b["entity"].alias("dst")),
+            ),
+        )
+    )
+    return (
+        mentions.groupBy("chunk_id")
+        .agg(F.array_sort(F.collect_list(F.struct("entity", "new"))).alias("es"))
+        .select(F.explode(pairs).alias("e"))
+        .groupBy("e.src", "e.dst")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def pmi(edges: DataFrame, mentions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pointwise mutual information of co-occurrence edges (Church & Hanks 1990)."""
     seen = mentions.groupBy("entity").agg(F.countDistinct("chunk_id").alias("m"))

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from lodeweave.functions import text as tx
 from lodeweave.operators.iterate import k_hop, ppr
-from lodeweave.operators.skew import ROWS_PER_TASK, hot_keys, salted_join
+from lodeweave.operators.skew import ROWS_PER_TASK, add_salt, hot_keys, salted_join
 from lodeweave.session import cut
 
 SCORE_DIGITS = 6
@@ -80,9 +80,16 @@ def asked_terms(questions: DataFrame, post: DataFrame, rarity: DataFrame | None
 
 
 def term_rows(asked: DataFrame, post: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Postings joined to the question terms; a term held by many chunks is split over tasks."""
+    """Postings joined to the question terms; a term held by many chunks is split over tasks.
+
+    The salts of a question term follow from its ``df``, so the asked side stays a scan of a small table whose
+    size Spark knows. Where it is small enough to send to all tasks, postings bucketed by chunk stay where they
+    are, and so do the sums per question and chunk.
+    """
     hot = hot_keys(asked.select("term", "df").distinct(), "term", "df", rows_per_task)
-    return salted_join(post, asked, "term", hot, F.xxhash64("chunk_id"))
+    salts = F.sequence(F.lit(0), F.ceil(F.col("df") / F.lit(rows_per_task)).cast("int") - 1)
+    spread = asked.withColumn("salt", F.explode(salts))
+    return add_salt(post, hot, "term", F.xxhash64("chunk_id")).join(spread, ["term", "salt"]).drop("salt")
 
 
 def bm25(
@@ -175,6 +182,11 @@ def filtered(chunks: DataFrame, predicate: Column) -> DataFrame:
     return chunks.where(predicate)
 
 
+def within(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Stored postings or vectors of ``chunks`` only, to be searched like those of all chunks."""
+    return rows.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+
+
 def hash_embed(
     df: DataFrame,
     rarity: DataFrame,

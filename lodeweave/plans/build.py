@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.operators import context, corpus, graph_build, iterate, retrieve
 from lodeweave.session import new_path
+from lodeweave.sources.index import write_bucketed
 
 
 class Index:
@@ -28,26 +31,33 @@ class Index:
     ============ =====================================================
     """
 
+    #: Tables bucketed by chunk, into as many buckets as the session has shuffle partitions.
+    BY_CHUNK = ("postings", "norms")
+
     def __init__(self, spark: SparkSession, docs: DataFrame, root: str | None = None, rounds: int = 3):
         self.spark, self.root, self.rounds = spark, root or new_path(spark, "index"), rounds
         self.docs = corpus.dedup(docs)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             df = getattr(self, f"_{name}")()
             path = f"{self.root}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            self._built[name] = self.spark.read.schema(df.schema).parquet(path)
+            if name in self.BY_CHUNK:
+                self._built[name] = write_bucketed(df, f"{name}_{uuid.uuid4().hex}", ["chunk_id"], self.buckets, path)
+            else:
+                df.write.mode("overwrite").parquet(path)
+                self._built[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._built[name]
 
     def _chunks(self) -> DataFrame:
         return corpus.chunk(self.docs)
 
     def _postings(self) -> DataFrame:
-        # Batches of questions read all postings, so these are written where they are
-        # made; ``sources.index.write_index`` sorts a copy for single-term look-ups.
-        return retrieve.postings(self["chunks"])
+        # Batches of questions read all postings and add them up by chunk, so the chunks go to their bucket
+        # before they are taken apart; ``sources.index.write_index`` sorts a copy for single-term look-ups.
+        return retrieve.postings(self["chunks"].repartition(self.buckets, "chunk_id"))
 
     def _rarity(self) -> DataFrame:
         return self["postings"].groupBy("term").agg(F.count("*").alias("df"))
@@ -56,7 +66,7 @@ class Index:
         return retrieve.corpus_stats(self["chunks"])
 
     def _norms(self) -> DataFrame:
-        return retrieve.chunk_norms(self["postings"], self["stats"], self["rarity"])
+        return retrieve.chunk_norms(self["postings"], self["stats"], self["rarity"]).repartition(self.buckets, "chunk_id")
 
     def _vectors(self) -> DataFrame:
         return retrieve.hash_embed(self["chunks"], self["rarity"], self["stats"].select("n").scalar())

@@ -26,10 +26,16 @@ def write_index(df: DataFrame, path: str, keys: Sequence[str] = (), by: Sequence
     return path
 
 
-def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> str:
-    """Catalog table bucketed by ``keys``; joins on them skip the shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
-    return name
+def write_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """Catalog table bucketed by ``keys``, at ``path`` if given; joins and groups on them skip the shuffle.
+
+    ``df`` should be partitioned by ``keys`` into ``buckets`` already, so that a task writes one file.
+    """
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def read_index(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators import corpus, retrieve
-from lodeweave.session import new_path
+from lodeweave.operators import corpus, graph_build, retrieve
+from lodeweave.session import cut, discard, new_path
 from lodeweave.streaming.run import run_batches
 
-HASHES = "doc_id bigint, h string, batch bigint"
-CHUNKS = "chunk_id string, doc_id bigint, chunk_no int, lang string, source string, text string, batch bigint"
-POSTINGS = "term string, chunk_id string, tf bigint, dl int, batch bigint"
+TABLES = {
+    "hashes": "doc_id bigint, h string, batch bigint",
+    "chunks": "chunk_id string, doc_id bigint, chunk_no int, lang string, source string, text string, batch bigint",
+    "postings": "term string, chunk_id string, tf bigint, dl int, batch bigint",
+    "terms": "entity string, df bigint, batch bigint",
+    "mentions": "entity string, chunk_id string, n bigint, batch bigint",
+    "pairs": "src string, dst string, n bigint, batch bigint",
+}
 
 
 class StreamIndex:
@@ -22,16 +27,20 @@ class StreamIndex:
     else. Documents carry no event time; a text is a repeat if an earlier batch
     stored its hash. Counts are stored, and frequencies are taken at query time, as
     they move with every batch.
+
+    A term becomes an entity with the batch that brings it to ``df_lo`` documents. That batch stores its earlier
+    mentions too, and the pairs they make in their chunks, so the mentions and edges of all batches together
+    are those of an index built at once.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None):
-        self.spark, self.root = spark, root or new_path(spark, "stream-index")
+    def __init__(self, spark: SparkSession, root: str | None = None, df_lo: int = 5):
+        self.spark, self.root, self.df_lo = spark, root or new_path(spark, "stream-index"), df_lo
+        # An empty table makes a folder readable before the first batch.
+        for name, schema in TABLES.items():
+            spark.createDataFrame([], schema).write.mode("ignore").partitionBy("batch").parquet(f"{self.root}/{name}")
 
-    def _stored(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        # An empty write makes the folder readable before the first batch.
-        self.spark.createDataFrame([], schema).write.mode("append").partitionBy("batch").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+    def _stored(self, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}")
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
@@ -39,18 +48,48 @@ class StreamIndex:
     def add(self, docs: DataFrame, batch: int) -> None:
         hashed = docs.withColumn("h", F.sha2("text", 256))
         first = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
-        old = self._stored("hashes", HASHES).where(F.col("batch") < batch).select("h")
+        old = self._stored("hashes").where(F.col("batch") < batch).select("h")
         self._write(first.join(old, "h", "left_anti").select("doc_id", "h"), "hashes", batch)
-        new = self._stored("hashes", HASHES).where(F.col("batch") == batch).select("doc_id")
-        self._write(corpus.chunk(docs.join(new, "doc_id", "left_semi")), "chunks", batch)
+        new = self._stored("hashes").where(F.col("batch") == batch).select("doc_id")
+        # Read by two tables below, whatever it takes to read the batch again.
+        fresh = cut(docs.join(new, "doc_id", "left_semi"))
+        self._write(corpus.chunk(fresh), "chunks", batch)
         mine = self.chunks().where(F.col("batch") == batch)
         self._write(retrieve.postings(mine), "postings", batch)
+        self._write(graph_build.term_documents(fresh), "terms", batch)
+        discard(fresh)
+        self._add_graph(batch)
+
+    def _add_graph(self, batch: int) -> None:
+        """Mentions and pairs that this batch brings. Only terms of the batch can become entities, so
+        only their counts are added up."""
+        terms, post = self._stored("terms"), self.postings()
+        now = terms.where(F.col("batch") == batch).select("entity", "df")
+        earlier = terms.where(F.col("batch") < batch).join(now.select("entity"), "entity", "left_semi")
+        before = earlier.groupBy("entity").agg(F.sum("df").alias("before"))
+        met = now.join(before, "entity", "left").select("entity", "df", F.coalesce("before", F.lit(0)).alias("before"))
+        band = cut(met.where(F.col("df") + F.col("before") >= self.df_lo).select("entity", (F.col("before") < self.df_lo).alias("grown")))
+        found = graph_build.entities_in(post.where(F.col("batch") == batch), band)
+        late = graph_build.entities_in(post.where(F.col("batch") < batch), band.where("grown"))
+        self._write(found.unionByName(late), "mentions", batch)
+        seen = self.mentions().where(F.col("batch") <= batch).withColumn("new", F.col("batch") == batch)
+        touched = seen.where("new").select("chunk_id").distinct()
+        self._write(graph_build.new_pairs(seen.join(touched, "chunk_id", "left_semi")), "pairs", batch)
+        discard(band)
 
     def chunks(self) -> DataFrame:
-        return self._stored("chunks", CHUNKS)
+        return self._stored("chunks")
 
     def postings(self) -> DataFrame:
-        return self._stored("postings", POSTINGS)
+        return self._stored("postings")
+
+    def mentions(self) -> DataFrame:
+        return self._stored("mentions")
+
+    def edges(self, min_count: int = 2) -> DataFrame:
+        """``(src, dst, weight)`` with src < dst, as ``graph_build.cooccur`` gives them."""
+        sums = self._stored("pairs").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
+        return sums.where(F.col("weight") >= min_count)
 
     def ingest(self, stream: DataFrame, log: str | None = None) -> "StreamIndex":
         run_batches(stream, self.add, "ingest", log=log)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import catalog
 from catalog import base
 from lodeweave.operators import agent, context, evaluate, ordered, retrieve, vectors
+from lodeweave.session import new_path
 from lodeweave.sources import readers
 
 
@@ -60,6 +61,32 @@ def test_bm25_does_not_depend_on_salt(spark, sf):
     assert sorted(a) == sorted(b) and a
 
 
+def test_scores_are_added_up_where_the_chunks_are(spark, sf):
+    i, q = base.index(spark, sf), base.questions(spark, sf)
+    lists = (
+        retrieve.bm25(q, i["postings"], i["stats"], 5, rarity=i["rarity"]),
+        retrieve.tfidf(q, i["postings"], i["stats"], 5, i["rarity"], i["norms"]),
+    )
+    for hits in lists:
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "chunk_id" in line.split("hashpartitioning", 1)[1]]
+        assert not moved, plan
+
+
+def test_trace_counts_what_is_new_and_a_run_replaces_itself(spark):
+    first = spark.createDataFrame([(1, 1, "a", 2.0), (1, 1, "b", 1.0), (1, 2, "c", 3.0)], "q_id long, round int, chunk_id string, score double")
+    second = spark.createDataFrame([(1, "b", 5.0), (1, "d", 4.0)], "q_id long, chunk_id string, score double")
+    routes = spark.createDataFrame([(1, "text")], "q_id long, route string")
+    out = agent.trace({"x": first, "y": second}, routes)
+    want = {(1, 1, "x"): ("text", 2, 2.0, 2), (1, 1, "y"): ("text", 2, 5.0, 1), (1, 2, "x"): ("text", 1, 3.0, 1)}
+    seen = lambda rows: {(r["q_id"], r["round"], r["step"]): (r["route"], r["n_hits"], r["best"], r["gain"]) for r in rows.collect()}
+    assert seen(out) == want
+    path = new_path(spark, "trace")
+    for run in (1, 2, 2):
+        log = agent.log_trace(out, path, run)
+    assert log.count() == 6 and seen(log.where("run = 2")) == want
+
+
 def test_fusing_one_list_keeps_it(spark, sf):
     hits = base.bm25_hits(spark, sf, 5)
     a = {(r["q_id"], r["rank"]): r["chunk_id"] for r in hits.collect()}

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from lodeweave.operators import corpus, retrieve
+from lodeweave.operators import corpus, graph_build, retrieve
 from lodeweave.session import new_path
 from lodeweave.sources import readers
 from lodeweave.streaming import events as ev
@@ -26,12 +26,17 @@ def test_ingest_in_parts_equals_batch(spark, sf):
     got = index.postings().select(cols)
     want = retrieve.postings(corpus.chunk(corpus.dedup(docs))).select(cols)
     assert got.groupBy("term").agg(F.sum("tf")).exceptAll(want.groupBy("term").agg(F.sum("tf"))).isEmpty()
+    want_mentions = graph_build.term_entities(corpus.chunk(corpus.dedup(docs)), corpus.dedup(docs))
+    assert sorted(index.mentions().select("entity", "chunk_id", "n").collect()) == sorted(want_mentions.collect())
+    edges = sorted(index.edges().collect())
+    assert edges == sorted(graph_build.cooccur(want_mentions).collect()) and edges
     before = index.postings().count()
     assert before == want.count()
     last = index.postings().agg(F.max("batch")).first()[0]
     stored = index.spark.read.parquet(src)
     index.add(stored.join(index.chunks().where(F.col("batch") == last).select("doc_id").distinct(), "doc_id", "left_semi"), last)
     assert index.postings().count() == before
+    assert sorted(index.edges().collect()) == edges
 
 
 def test_late_and_repeated_events(spark):
