@@ -4,8 +4,9 @@ Centroids are fitted on a bounded sample by halving it at the median of its wide
 are small, so they stand for equal numbers of vectors. The centroids and a neighbour graph among them are small
 (``MAX_LISTS``) and in memory of every task; whoever looks for near centroids walks that graph. Every vector
 goes to its nearest list, and to further ones that are nearly as near (``CLOSURE``), so a query that comes from
-the other side of a boundary still meets it. A query reads the lists within ``REACH`` times the distance of
-its nearest one. Lists are dealt out in chunks of ``CHUNK`` rows, so a list with a third of all vectors is many
+the other side of a boundary still meets it. A query reads the lists within a multiple of the distance of
+its nearest one: at least ``REACH``, and as much more as recall takes. That is measured on up to ``TRIED`` of the queries, whose
+nearest vectors are found by brute force, at the lists that the table really has; if no multiple does, all lists are read. Lists are dealt out in chunks of ``CHUNK`` rows, so a list with a third of all vectors is many
 tasks, and equal query vectors are searched once. Scores are exact cosines of the original vectors in double precision.
 """
 
@@ -28,7 +29,12 @@ CHUNK = 20_000
 COPIES = 2
 CLOSURE = 1.02
 REACH = 1.12
+# Recall that the tried queries must reach; above 0.9, as they are a sample.
+AIM = 0.95
+TRIED = 200
 K = 5
+# Pairs of row and list that a walk holds at once, about.
+WALK = 400_000
 DEGREE = 24
 
 
@@ -101,15 +107,36 @@ class Lists:
             dist[row, col] = d
             np.minimum.at(best, row, d)
             # At least the nearest one found so far is always left to go on from.
-            go = d <= best[row] * reach + 1e-12
+            go = d <= self._limit(best, reach)[row]
             row, col = np.repeat(row[go], self.near.shape[1]), self.near[col[go]].ravel()
             fresh = ~seen[row, col]
             pair = np.unique(row[fresh] * c + col[fresh])
             row, col = pair // c, pair % c
             seen[row, col] = True
-        row, col = np.nonzero(dist <= best[:, None] * reach + 1e-12)
+        row, col = np.nonzero(np.isfinite(dist) & (dist <= self._limit(best, reach)[:, None]))
         return row, col, dist[row, col]
 
+    @staticmethod
+    def _limit(best: np.ndarray, reach: float) -> np.ndarray:
+        return best * reach + 1e-12 if np.isfinite(reach) else np.full(len(best), np.inf)
+
+    def step(self, most: int = 1000) -> int:
+        return max(1, min(most, WALK // len(self.centre)))
+
+    def homes(self, x: np.ndarray, reach: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of at most ``most`` lists within ``reach``, the nearest ones."""
+        rows, cols, step = [], [], self.step()
+        for at in range(0, len(x), step):
+            row, col, dist = self.within(x[at : at + step], reach)
+            if most:
+                order = np.lexsort((col, dist, row))
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                row, col = row[nth < most], col[nth < most]
+            rows.append(row + at)
+            cols.append(col)
+        return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, int), np.zeros(0, int))
+
 
 def fit(vectors: DataFrame, total: int, list_rows: int = LIST_ROWS) -> Lists | None:
     """Lists from at most ``SAMPLE`` vectors, chosen by the hash of their ids."""
@@ -127,14 +154,10 @@ def _matrix(column) -> np.ndarray:
 def _place(lists: Lists, key: str, reach: float, most: int | None):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                row, col, dist = lists.within(_unit(_matrix(batch.column("v"))), reach)
-                if most:
-                    order = np.lexsort((col, dist, row))
-                    row, col = row[order], col[order]
-                    nth = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, col = row[nth < most], col[nth < most]
+            step = lists.step()
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                row, col = lists.homes(_unit(_matrix(batch.column("v"))), reach, most)
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([taken.column(key), taken.column("v"), pa.array(col.astype(np.int32))], names=[key, "v", "list"])
 
@@ -174,16 +197,86 @@ def _scan(k: int):
     return scan
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, reach: float = REACH, copies: int = COPIES, closure: float = CLOSURE) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row (vec_id, v) of ``queries`` its ``k`` nearest other vectors found."""
+def _best(q: np.ndarray, k: int):
+    """The best ``k`` vectors of a task for each row of ``q``, by brute force."""
+    qn = np.sqrt(np.einsum("ij,ij->i", q, q))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, ids, v = np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0, q.shape[1]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                x, own = _matrix(batch.column("v")), batch.column("vec_id").to_numpy()
+                if x.shape[1] != q.shape[1]:
+                    continue
+                own, one = np.unique(own, return_index=True)
+                x = x[one]
+                s = np.einsum("qd,vd->qv", q, x) / (qn[:, None] * np.sqrt(np.einsum("ij,ij->i", x, x))[None])
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score, ids, v = np.hstack((score, np.take_along_axis(s, top, 1))), np.hstack((ids, own[top])), np.concatenate((v, x[top]), axis=1)
+                order = np.lexsort((ids, -score))
+                score, ids, v = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+                # A repeated row counts once.
+                score[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                score, ids, v = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1), np.take_along_axis(v, order[:, :, None], 1)
+        at = np.repeat(np.arange(len(q)), score.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ids.ravel()), pa.array(score.ravel()), pa.array(v.reshape(-1, q.shape[1]).tolist(), pa.list_(pa.float64()))], names=["at", "vec_id", "score", "v"])
+
+    return best
+
+
+def enough(lists: Lists, q: np.ndarray, at: np.ndarray, hits: np.ndarray, copies: int, closure: float, aim: float = AIM) -> tuple[float, float]:
+    """The least reach, from ``REACH`` on, by which the rows of ``q`` meet the share ``aim`` of their nearest vectors
+    ``hits`` (``at``: the row of ``q`` of each), and that share."""
+    q = _unit(q)
+    row, col = lists.homes(_unit(hits), closure, copies)
+
+    def met(reach: float) -> float:
+        read = np.zeros((len(q), len(lists.centre)), bool)
+        read[lists.homes(q, reach, None)] = True
+        found = np.zeros(len(hits), bool)
+        np.logical_or.at(found, row, read[at[row], col])
+        return float(found.mean())
+
+    far = np.sqrt(np.maximum(2e-16, np.stack([((x - lists.centre) ** 2).sum(axis=1) for x in q])))
+    ratio = np.full(len(hits), np.inf)
+    np.minimum.at(ratio, row, far[at[row], col] / far.min(axis=1)[at[row]])
+    ratio.sort()
+    reach = max(REACH, float(ratio[int(np.ceil(aim * len(ratio))) - 1]))
+    # The walk can miss a list that is near enough.
+    while (share := met(reach)) < aim:
+        reach = reach * 1.03 if reach < ratio[-1] else float("inf")
+    return reach, share
+
+
+def measured_reach(lists: Lists, vectors: DataFrame, asked: DataFrame, k: int, copies: int, closure: float) -> float:
+    """The reach for the queries (q, v) of ``asked``, from at most ``TRIED`` of them."""
+    q = sample(asked, F.col("q"), TRIED).select("v").toArrow()["v"].to_pylist()  # at most TRIED rows
+    if not q or len(lists.centre) == 1:
+        return REACH
+    q = np.array(q)
+    top = W.partitionBy("at").orderBy(F.desc("score"), "vec_id")
+    tops = vectors.mapInArrow(_best(q, k + 1), "at long, vec_id long, score double, v array<double>").where(F.col("score") > float("-inf"))
+    best = tops.dropDuplicates(["at", "vec_id"]).withColumn("n", F.row_number().over(top))
+    # The first is the query itself or a vector like it, which is met anyway.
+    rows = best.where((F.col("n") > 1) & (F.col("n") <= k + 1)).select("at", "v").toArrow()
+    return enough(lists, q, rows["at"].to_numpy(), np.array(rows["v"].to_pylist()), copies, closure)[0] if rows.num_rows else REACH
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, reach: float | None = None, copies: int = COPIES, closure: float = CLOSURE, list_rows: int = LIST_ROWS) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: for each row (vec_id, v) of ``queries`` its ``k`` nearest other vectors found,
+    in the lists within ``reach`` or, without one, within the reach that the measured recall takes."""
     total = vectors.count()
-    lists = fit(vectors, total)
+    lists = fit(vectors, total, list_rows)
     spark = vectors.sparkSession
     if lists is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     # Equal query vectors are one query; each may find itself, so one more is looked for.
     asked = table(queries.select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v", F.lit(0)).alias("q")), "asked")
     distinct = asked.groupBy("q", "v").agg(F.lit(1).alias("one")).select("q", "v")
+    if reach is None:
+        reach = measured_reach(lists, vectors, distinct, k, copies, closure)
     posted = table(vectors.mapInArrow(_place(lists, "vec_id", closure, copies), "vec_id long, v array<double>, list int"), "postings")
     sizes = table(posted.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "sizes")  # at most MAX_LISTS rows
     chunked = posted.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "v")

@@ -60,3 +60,22 @@ def test_small_tables(spark):
     assert answers(spark.createDataFrame([(50, [1.0, 0.0])], schema)) == {}
     got = answers(spark.createDataFrame([(50, [1.0, 0.0]), (3, [1.0, 1.0]), (4, [2.0, 2.0])], schema))
     assert [i for _, i, _ in got[50]] == [3, 4]
+
+
+def test_recall_holds_with_many_small_lists(spark):
+    # As many lists, and as few vectors in each, as no fixed reach was chosen for.
+    x = np.random.default_rng(5).standard_normal((6000, 32))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    vectors = nb.usable(df)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = range(0, 6000, 20)
+    scores = unit[::20] @ unit.T
+    scores[np.arange(len(asked)), asked] = -2
+    want = {(q, int(i)) for q, row in zip(asked, np.argsort(-scores, axis=1)[:, :5]) for i in row}
+
+    def recall(reach):
+        got = nb.nearest(vectors, vectors.where("vec_id % 20 = 0"), reach=reach, list_rows=10).collect()
+        return len({(r["query_id"], r["vec_id"]) for r in got} & want) / len(want)
+
+    assert recall(nb.REACH) < 0.9
+    assert recall(None) >= 0.9
