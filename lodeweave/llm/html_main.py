@@ -43,6 +43,10 @@ BOILER_WORDS = frozenset(
     "subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies related share sharing social widget login signin signup search form "
     "pager pagination toolbar copyright legal disclaimer skip".split()
 )
+# Names with one of these say how a page is laid out or what state it is in, not what an element is: with-sidebar, comments-open.
+STATE_WORDS = frozenset("with without has have no not is open opened closed enabled disabled on off layout template".split())
+# No article inside brings back what a page hides or keeps in its head; other marks add up to no more than DEEPEST.
+HIDDEN, DEEPEST = -30.0, -24.0
 ROLES = {"navigation": -12.0, "banner": -12.0, "contentinfo": -12.0, "complementary": -12.0, "search": -12.0, "form": -12.0, "dialog": -12.0, "alert": -12.0, "main": 8.0, "article": 8.0}
 # Smoothness: neighbours, the same parent, neighbours under one parent with others between.
 NEAR, PARENT, APART = 0.3, 1.2, 0.6
@@ -52,7 +56,8 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attr2>[^>]*+)>|(?P<text>[^<]++|<)",
     re.S | re.I,
 )
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))?", re.I)
+# One attribute: name and value. Values of all names are read over, so nothing inside them counts as a name.
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -68,20 +73,36 @@ def _mark(name: str, attr: str, inside: float) -> float:
     cost = ELEMENTS.get(name, 0.0)
     if name == "header":
         cost = 0.0 if inside > 0 else -12.0
-    if attr and ("=" in attr or "hidden" in attr):
-        for m in _MARKS.finditer(attr):
+    hidden = False
+    if attr and ("=" in attr or "hidden" in attr.lower()):
+        seen = set()
+        for m in _ATTRIBUTE.finditer(attr):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if key in seen:
+                continue
+            seen.add(key)
             if key == "role":
                 cost += ROLES.get(value, 0.0)
-            elif key == "hidden" or key == "aria-hidden":
-                cost -= 12.0 * (key == "hidden" or value == "true")
-            else:
-                found = set(_SPLIT.split(value))
+            elif key == "hidden":
+                hidden = True
+            elif key == "aria-hidden":
+                cost -= 12.0 * (value == "true")
+            elif key in ("class", "id") and name not in ("html", "body"):
+                names = [set(_SPLIT.split(x)) for x in value.split()]
+                found = set().union(*[x for x in names if not x & STATE_WORDS])
                 if found & BOILER_WORDS:
                     cost -= 12.0
                 elif found & CONTENT_WORDS:
                     cost += 3.0
-    return cost
+    return min(cost, HIDDEN) if hidden else cost if cost <= HIDDEN and name in ("head", "title") else max(cost, DEEPEST)
+
+
+def _inside(outer: float, own: float) -> float:
+    """Cost inside an element with marks ``own`` that lies in one with ``outer``. What lies in boilerplate is boilerplate, but
+    for an article or main that does not look like it by its own marks: there the cut decides."""
+    if outer <= -12:
+        return 0.0 if own >= 8 and outer > HIDDEN else outer
+    return own if own <= -12 else min(outer + own, 8.0)
 
 
 def blocks(page: str) -> list[Block]:
@@ -141,8 +162,7 @@ def blocks(page: str) -> list[Block]:
         number += 1
         outer = stack[-1][2]
         own = _mark(name, m["attr"] or m["attr2"] or "", outer)
-        # What lies in boilerplate is boilerplate, wherever that stands.
-        stack.append((name, number, outer if outer <= -12 else own if own <= -12 else min(outer + own, 8.0)))
+        stack.append((name, number, _inside(outer, own)))
     close()
     return out
 

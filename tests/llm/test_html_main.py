@@ -3,6 +3,8 @@ import itertools
 import random
 import re
 
+import pytest
+
 from lodeweave.llm import html_main as hm
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body>
@@ -48,3 +50,30 @@ def test_odd_pages(spark):
     assert len(got) == 6
     assert any("deep words" in r["text"] for r in got)
     assert hm.extract(df.limit(0)).count() == 0
+
+
+ARTICLE = "".join(f"<p>The council met on day {k} and agreed, after a long debate, to mend the old bridge over the river.</p>" for k in range(6))
+MENU = "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(6))
+PLAIN = f"<html><body><nav><ul>{MENU}</ul></nav><article>{ARTICLE}</article><footer><p>Copyright.</p></footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "start, end",
+    [
+        ('<body><article style="overflow:hidden">', "</article>"), ('<body><article data-id="comment-3">', "</article>"), ("<body><article title='id=ad class=\"sidebar\"'>", "</article>"),
+        ('<body class="single with-sidebar"><article>', "</article>"), ('<body><div id="content-with-sidebar"><article>', "</article></div>"),
+        ('<body><article class="post comments-open">', "</article>"), ('<body><form action="/"><main>', "</main></form>"), ('<body><div class="sidebar"><article>', "</article></div>"),
+        ('<body class="nav header"><div class="post">', "</div>"),
+    ],
+)
+def test_articles_behind_loose_marks(start, end):
+    table = {}
+    hm.counts(PLAIN, table)
+    page = f"<html>{start}{ARTICLE}{end}<nav><ul>{MENU}</ul></nav></body></html>"
+    got = hm.main_text(page, hm.log_odds(table))
+    assert got.count("The council met") == 6 and "Item" not in got
+
+
+@pytest.mark.parametrize("start, end", [("<article hidden>", "</article>"), ("<div hidden><article>", "</article></div>"), ('<div class="comments">', "</div>"), ('<article><div id="related-posts">', "</div></article>")])
+def test_marks_that_still_count(start, end):
+    assert hm.main_text(f"<body>{start}{ARTICLE}{end}</body>", {}) == ""
