@@ -3,8 +3,9 @@
 Entities are found by patterns with checks (Luhn, mod 97, octets) and brought to a canonical form, so that one
 person's number written in two ways is one entity. Its surrogate is a keyed permutation of the form's letters and
 digits, each within its own alphabet: a Feistel network on the characters, so entities of one shape never
-meet, and length, case, separators, script, issuer digit, country code and check digits are kept. Names after
-a title are drawn from lists by gender and script, with the case of the original.
+meet, and length, case, separators, script, issuer digit, country code and check digits are kept. Names are found
+after a title or by a given name of the lists. Each given and family name is an entity of its own, drawn from lists by gender and script
+with the case of the original, so full, titled and bare mentions of one person in a text agree.
 
 A surrogate must also differ from every entity that occurs, its own included, and names may meet as
 the lists are finite. So all distinct entities are kept in a table, and those whose surrogate meets another are
@@ -15,6 +16,7 @@ that needed another try reach their documents by a join on the document, of what
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -38,6 +40,7 @@ GIVEN = {
     ("cyrillic", "m"): "Алексей Борис Виктор Григорий Дмитрий Егор Иван Кирилл Леонид Максим Николай Олег Павел Роман Сергей".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лариса Мария Нина Ольга Полина Светлана".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Κώστας Λεωνίδας Νίκος Παύλος Σπύρος Χρήστος".split(),
+    ("latin", "n"): "Alex Casey Charlie Jamie Jordan Kim Morgan Robin Sascha Taylor".split(),
     ("greek", "f"): "Άννα Βασιλική Ελένη Ζωή Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα".split(),
 }
 FAMILY = {
@@ -46,22 +49,45 @@ FAMILY = {
     "greek": "Αγγέλου Βλάχος Γεωργίου Δήμου Ιωάννου Κωνσταντίνου Λάμπρου Νικολάου Παππάς".split(),
 }
 TITLES = {"m": "Mr Herr Monsieur Señor Signor Sir Господин Κύριος".split(), "f": "Mrs Ms Miss Frau Madame Mme Señora Signora Госпожа Κυρία".split()}
+TITLES["n"] = "Dr Prof Professor Doctor".split()
 GENDER = {t: g for g, names in TITLES.items() for t in names}
+# Given names that show a name without a title, besides those of GIVEN.
+COMMON = {
+    "m": "John James Robert Michael William David Richard Joseph Charles Christopher Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jason Jeffrey Ryan Jacob Nicholas Eric Jonathan Stephen "
+    "Steven Scott Benjamin Samuel Gregory Alexander Patrick Peter Henry Pierre Jean Jacques Philippe Hans Klaus Wolfgang Juan Carlos Pedro Giovanni Luigi".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy Angela Anna Emma "
+    "Anne Jane Catherine Marie Sophie Claire Ursula Ingrid Carmen Lucia Giulia Francesca".split(),
+}
+KNOWN = {n.casefold(): g for names in (*[(g, v) for (_, g), v in GIVEN.items() if g != "n"], *COMMON.items()) for g, v in [names] for n in v}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _CAP = r"[^\W\d_a-zà-öø-ÿа-яα-ω][\w'’\-]+"
+_INITIAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω]\."
+_NAME = rf"(?:(?:{_CAP}|{_INITIAL}) ){{0,2}}{_CAP}"
+# Country codes whose groups are known come first, so that they end where their numbers do.
+_PHONES = [
+    r"\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}", r"\(\d{3}\)[ .\-]?\d{3}[ \-.]\d{4}", r"\d{3}([\-.])\d{3}\1\d{4}", r"(?<!\d[ .,\-])\d{3} \d{3} \d{4}",
+    r"\+33[ .\-]?(?:\(0\)[ .\-]?)?\d(?:[ .\-]?\d{2}){4}", r"\+7[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{2}[ .\-]?\d{2}", r"(?<!\d[ .,\-])0[1-9](?:[ .\-]\d{2}){4}",
+    r"\+(?!1)\d(?:[ .\-]?\(?\d\)?){7,14}", r"\+(?!1)\d{2,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4}",
+]
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+\-])[\w.+%\-]+@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     "card": re.compile(r"(?<![\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\d\-])"),
     "ip": re.compile(rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
-    "phone": re.compile(r"(?<![\w+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\(\d{3}\) ?\d{3}[\-.]\d{4}|\d{3}([\-.])\d{3}\1\d{4}|\+(?!1)\d{2,3}(?:[ .\-]?\(?\d{2,4}\)?){2,4})(?!\d)"),
+    "ip6": re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}|(?=::))(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)"),
+    "phone": re.compile(rf"(?<![\w+])(?:{'|'.join(_PHONES)})(?!\d)"),
     "ssn": re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "secret": re.compile(r"""(?i)(?:token|secret|password|passwd|api[ _\-]?key|access[ _\-]?key)["']?\s*[=:]\s*["']?(?P<v>[A-Za-z0-9_\-+/.]{16,}={0,2})"""),
-    "name": re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(GENDER, key=len, reverse=True))})\.? (?P<v>{_CAP}(?: {_CAP})?)"),
+    "name": re.compile(rf"(?<!\w)(?P<t>{'|'.join(sorted(GENDER, key=len, reverse=True))})\.? (?P<v>{_NAME})"),
 }
 _DIGITS = re.compile(r"\d[\d\-. ()]{4,}\d")
+_COLONS = re.compile(r"[0-9A-Fa-f]:[0-9A-Fa-f:]|::[0-9A-Fa-f]")
 _TITLE = re.compile("|".join(GENDER))
+_GIVEN = re.compile(rf"(?<!\w){_CAP}(?= )")
+_UNTITLED = re.compile(rf"(?:{_CAP}|{_INITIAL}) (?:(?:{_CAP}|{_INITIAL}) )?{_CAP}")
+_WORD = re.compile(rf"(?<!\w)(?:{_CAP}|{_INITIAL})")
+_OWNED = re.compile(r"(?:['’]s?|-)$")
 _OF = {c: a for a in ALPHABETS for c in a}
 
 
@@ -86,7 +112,12 @@ def canonical(kind: str, raw: str) -> str | None:
         short = raw.replace(" ", "")
         return short if 15 <= len(short) <= 34 and _mod97(short) == 1 else None
     if kind == "phone":
-        return re.sub(r"[^\d+]", "", raw)
+        return re.sub(r"[^\d+]", "", raw.replace("(0)", ""))
+    if kind == "ip6":
+        try:
+            return ipaddress.IPv6Address(raw).exploded.replace(":", "") if re.search(r"\d", raw) else None
+        except ValueError:
+            return None
     if kind == "ssn":
         return raw.replace("-", "")
     if kind == "email":
@@ -96,6 +127,57 @@ def canonical(kind: str, raw: str) -> str | None:
     return raw
 
 
+def _names(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, form) of the names of a text. A form holds a token for each word: ``s:smith``, ``m:john``, ``i:m j.``, or ``I:m john``
+    for an initial of a given name of this text."""
+    spans = [(*m.span("v"), GENDER[m["t"]]) for m in PATTERNS["name"].finditer(text)] if _TITLE.search(text) else []
+    spans += [(*m.span(), KNOWN[g[0].casefold()]) for g in _GIVEN.finditer(text) if g[0].casefold() in KNOWN and (m := _UNTITLED.match(text, g.start()))]
+    found, family, given, covered = [], set(), {}, 0
+    for a, b, gender in sorted(spans):
+        words = [w[0] for w in _WORD.finditer(text, a, b)]
+        owned = _OWNED.search(words[-1])
+        if a < covered or len(words[-1]) - len(owned[0] if owned else "") < 2:
+            continue
+        covered = b - len(owned[0]) if owned else b
+        words = [w.casefold() for w in words[:-1]] + [words[-1].removesuffix(owned[0] if owned else "").casefold()]
+        found.append((a, covered, gender, words))
+        family.add(words[-1])
+        for w in words[:-1]:
+            if not w.endswith(".") and given.get(w, "n") == "n":
+                given[w] = gender
+    if not found:
+        return []
+
+    def token(w: str, gender: str) -> str:
+        if w in family:
+            return f"s:{w}"
+        if w.endswith("."):
+            full = next((g for g in given if g[0] == w[0]), None)
+            return f"I:{given[full]} {full}" if full else f"i:{gender} {w}"
+        return f"{given[w]}:{w}"
+
+    out = [(a, b, "\t".join(token(w, g) for w in words)) for a, b, g, words in found]
+    taken = [False] * len(text)
+    for a, b, _ in out:
+        taken[a:b] = [True] * (b - a)
+    for m in _WORD.finditer(text):
+        w = _OWNED.sub("", m[0])
+        if not taken[m.start()] and (w.casefold() in family or w.casefold() in given):
+            out.append((m.start(), m.start() + len(w), token(w.casefold(), "n")))
+    return out
+
+
+def parts(kind: str, form: str) -> list[tuple[str, str]]:
+    """The entities that a place holds: given and family names for a name, itself for all else."""
+    if kind != "name":
+        return [(kind, form)]
+    out = []
+    for t in form.split("\t"):
+        role, w = t.split(":", 1)
+        out.append(("family", w) if role == "s" else ("initial", w) if role == "i" else ("given", w) if role == "I" else ("given", f"{role} {w}"))
+    return out
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form) of the entities, in order and without overlap."""
     kinds = []
@@ -105,17 +187,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         kinds.append("secret")
     if _DIGITS.search(text):
         kinds += ["iban", "card", "ip", "phone", "ssn"]
-    if _TITLE.search(text):
-        kinds.append("name")
+    if _COLONS.search(text):
+        kinds.append("ip6")
     out: list[tuple[int, int, str, str]] = []
     for rank, kind in enumerate(kinds):
         for m in PATTERNS[kind].finditer(text):
-            a, b = m.span("v") if kind in ("secret", "name") else m.span()
+            a, b = m.span("v") if kind == "secret" else m.span()
             form = canonical(kind, text[a:b])
             if form is not None:
-                if kind == "name":
-                    form = f"{GENDER[m['t']]} {form.casefold()}"
                 out.append((a, rank, b, kind, form))
+    out += [(a, len(kinds), b, "name", form) for a, b, form in _names(text)]
     found, end = [], 0
     for a, _, b, kind, form in sorted(out):
         if a >= end:
@@ -166,11 +247,24 @@ def surrogate(kind: str, form: str, key: bytes = KEY, turn: int = 0) -> str:
         body = permute(form[4:], (), key, tweak)
         return f"{form[:2]}{98 - _mod97(form[:2] + '00' + body):02d}{body}"
     if kind == "phone":
-        cc = 0 if not form.startswith("+") else 2 if form.startswith("+1") else 3
+        cc = 0 if not form.startswith("+") else 2 if form[1] in "17" else 3
         fiction = range(len(form) - 7, len(form) - 4) if form[-7:-4] == "555" else ()
         return permute(form, {*range(cc), *fiction}, key, tweak)
     if kind == "ip":
         return ".".join(str(ord(c)) for c in permute("".join(map(chr, map(int, form.split(".")))), (), key, tweak, _BYTE_OF))
+    if kind == "ip6":
+        # Groups of zeros and the first group stay, if there is another one.
+        zero = {k for k in range(32) if form[k // 4 * 4 : k // 4 * 4 + 4] == "0000"}
+        first = set(range(4)) if len(zero | {0, 1, 2, 3}) < 32 else set()
+        return permute(form, zero | first, key, tweak, _HEX_OF)
+    if kind in ("given", "family", "initial"):
+        gender, _, name = form.rpartition(" ")
+        script = "cyrillic" if re.search("[а-я]", name) else "greek" if re.search("[α-ω]", name) else "latin"
+        names = FAMILY[script] if kind == "family" else GIVEN.get((script, gender)) or GIVEN[script, "m"]
+        pick = names[int.from_bytes(_stream(key, tweak, form)[:4]) % len(names)]
+        # Later tries leave the lists by added letters, so there is always another one.
+        tail = permute("a" * turn, (), key, f"{tweak}:{form}") if turn else ""
+        return f"{gender} {pick}{tail}".strip().casefold()
     if kind == "email":
         local, _, domain = form.partition("@")
         labels = domain.split(".")
@@ -201,25 +295,41 @@ def written(kind: str, raw: str, form: str) -> str:
         return name.upper() if raw.isupper() else name.title()
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(form.replace("+", ""))
-        return "".join(next(rest, "") if c.isalnum() else c for c in raw)
+        trunk = raw.replace("(0)", "(\0)") if kind == "phone" else raw
+        return "".join(next(rest, "") if c.isalnum() else c for c in trunk).replace("\0", "0")
+    if kind == "ip6":
+        address = ipaddress.IPv6Address(":".join(form[k : k + 4] for k in range(0, 32, 4)))
+        new = str(address) if "::" in raw else address.exploded if len(raw) == 39 else ":".join(f"{int(x, 16):x}" for x in address.exploded.split(":"))
+        return new.upper() if raw != raw.lower() else new
     if kind in ("email", "secret") and raw != raw.lower() and form == form.lower():
         return "".join(c.upper() if k < len(raw) and raw[k].isupper() else c for k, c in enumerate(form))
     return form
 
 
+def called(raw: str, form: str, new: list[str]) -> str:
+    """A name of the surrogates ``new`` of its words."""
+    out = []
+    for t, word, x in zip(form.split("\t"), _WORD.findall(raw), new):
+        x = x.rpartition(" ")[2]
+        out.append(f"{x[0].upper()}." if t[0] in "iI" else x.upper() if word.isupper() else x.title())
+    return " ".join(out)
+
+
 def rewrite(text: str, key: bytes, turns: dict[tuple[str, str], int], memo: dict) -> tuple[str, int]:
     found = find(text)
     if not found:
         return text, 0
     out, at = [], 0
     for a, b, kind, form in found:
-        turn = turns.get((kind, form), 0)
-        new = memo.get((kind, form, turn))
-        if new is None:
-            if len(memo) > 100_000:
-                memo.clear()
-            new = memo[kind, form, turn] = surrogate(kind, form, key, turn)
-        out += [text[at:a], written(kind, text[a:b], new)]
+        new = []
+        for entity in parts(kind, form):
+            turn = turns.get(entity, 0)
+            if (*entity, turn) not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                memo[*entity, turn] = surrogate(*entity, key, turn)
+            new.append(memo[*entity, turn])
+        out += [text[at:a], called(text[a:b], form, new) if kind == "name" else written(kind, text[a:b], new[0])]
         at = b
     return "".join([*out, text[at:]]), len(found)
 
@@ -232,7 +342,7 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         rows = []
         for rid, did, text in zip(*[batch.column(c).to_pylist() for c in ("rid", "did", "text")]):
-            rows += [(rid, did, kind, form) for kind, form in dict.fromkeys((k, f) for _, _, k, f in find(text or ""))]
+            rows += [(rid, did, kind, form) for kind, form in dict.fromkeys(e for _, _, k, f in find(text or "") for e in parts(k, f) if e[0] != "initial")]
         cols = list(zip(*rows)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["rid", "did", "kind", "form"])
 

@@ -73,3 +73,25 @@ def test_documents_nulls_and_repeats(spark):
     kept = sg.hide_rows(df)
     assert kept.columns == df.columns and kept.count() == len(rows)
     assert sg.hide(df.limit(0)).count() == 0
+
+
+def test_phones_and_addresses_in_other_forms():
+    for raw in ("+33 6 12 34 56 78", "+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+7 495 123-45-67", "555 123 4567", "(555) 123 4567", "06 12 34 56 78"):
+        new, n = sg.rewrite(f"call {raw}, please", sg.KEY, {}, {})
+        assert n == 1 and raw not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {raw}, please")
+    assert sg.canonical("phone", "+33 (0)1 23 45 67 89") == sg.canonical("phone", "+33123456789")
+    for raw in ("2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "fe80::1"):
+        new, n = sg.rewrite(f"from {raw}.", sg.KEY, {}, {})
+        assert n == 1 and raw not in new and [k for _, _, k, _ in sg.find(new)] == ["ip6"]
+    for text in ("at 12:30:45", "std::vector", "a::b", "::"):
+        assert sg.rewrite(text, sg.KEY, {}, {}) == (text, 0)
+
+
+def test_one_person_in_many_forms():
+    text = "John Smith met Dr Jones. Mr J. Smith, Mr Smith, Dr Smith and Mr John Peter Smith are one; Smith's house, said John. Jones left."
+    new, n = sg.rewrite(text, sg.KEY, {}, {})
+    assert not re.search("John|Smith|Jones|Peter", new)
+    given, family, other, initial, *rest = re.fullmatch(
+        r"(\w+) (\w+) met Dr (\w+)\. Mr (\w)\. (\w+), Mr (\w+), Dr (\w+) and Mr (\w+) \w+ (\w+) are one; (\w+)'s house, said (\w+)\. (\w+) left\.", new
+    ).groups()
+    assert rest == [family, family, family, given, family, family, given, other] and initial == given[0] and other != family
