@@ -54,9 +54,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def pin(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: drops the lineage and keeps the partitioning, for tables that a
-    loop joins again and again on the same key."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    loop joins again and again on the same key.
+
+    An adaptive plan does not say how its rows lie, and the checkpoint would be shuffled
+    again by each reader, so this one statement is planned without it.
+    """
+    spark = df.sparkSession
+    shared_root(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
