@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import cross_parse, html_main, mixing, neighbours, pieces_bpe, quality, repeats, shards, simhash, surrogates
+from lodeweave.llm import cross_parse, hard_negatives, html_main, mixing, neighbours, pieces_bpe, quality, repeats, shards, simhash, surrogates, turn_trie, word_bpe
 from lodeweave.llm.common import read
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +54,23 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.encode(read(spark, sf_dir, "documents"), WORD_PIECES, whole=False)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_html_extraction, op3_sentencepiece, op4_pii, op5_language_id, op6_quality_rules, op7_mixing, op8_simhash, op9_sharding, op10_nearest_neighbours,
+        op11_conversation_trie, op12_word_bpe, op13_hard_negatives,
     )
 }
 
@@ -125,4 +139,40 @@ b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_
 SELECT doc_id, size, s AS source_size, target, ((copies + (2 * before + size <= 2 * rest)::INT) * size)::BIGINT AS taken FROM b
 """
 
-SQL = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op7_mixing": _OP7}
+# CRC-32 by its polynomial, bit by bit, over the decimal digits of the id.
+_DIGITS = "list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+_BIT = "CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END"
+_CRC = f"xor(list_reduce({_DIGITS}, lambda a, x: list_reduce(range(8), lambda b, i: {_BIT}, xor(a, x)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+_OP11 = rf"""
+WITH t AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS turn_, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(turn_ ORDER BY turn NULLS FIRST, turn_.role, turn_.text) AS s FROM t GROUP BY conv_id),
+shared AS (SELECT *, ({_CRC} % 4)::BIGINT AS h FROM own),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.s[1 : c.h], []), c.s[c.h + 1 :]) AS s FROM shared c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefix AS (SELECT conv_id, len(s) AS size, d, s[1 : d] AS p, s[1 : d - 1] AS up FROM rebuilt, unnest(range(len(s) + 1)) r(d)),
+node AS (
+  SELECT p, d AS depth, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = d), '')) AS ends_sha256,
+    CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(p[d].text, '[ 	-]+'), lambda x: x <> '')) END * (count(*) - 1) AS saved
+  FROM prefix GROUP BY p, d),
+kids AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+under AS (
+  SELECT a.p, a.depth, sum(b.saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM node a JOIN node b ON b.depth >= a.depth AND b.p[1 : a.depth] = a.p LEFT JOIN kids k ON k.up = b.p AND k.depth = b.depth GROUP BY a.p, a.depth)
+SELECT node.conv_id, node.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, node.n_convs::BIGINT AS n_convs, coalesce(kids.n, 0)::BIGINT AS n_children, under.leaves::BIGINT AS n_leaves,
+  under.saved::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN under USING (p, depth) LEFT JOIN kids ON kids.up = node.p AND kids.depth = node.depth LEFT JOIN node parent ON node.depth > 0 AND parent.p = node.up AND parent.depth = node.depth - 1
+"""
+
+_OP13 = """
+WITH r AS (
+  SELECT vec_id, min({'label': CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END::BIGINT, 'v': list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)}) AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.r.label = b.r.label AS same, coalesce(list_sum(list_transform(list_zip(a.r.v, b.r.v), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.r.v) = len(b.r.v)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score QUALIFY rank <= 5
+"""
+
+SQL = {"op1_substring_dedup": _OP1, "op6_quality_rules": _OP6, "op7_mixing": _OP7, "op11_conversation_trie": _OP11, "op13_hard_negatives": _OP13}
