@@ -69,6 +69,13 @@ def pin(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
+def unpin(df: DataFrame) -> None:
+    """Delete the files of a pinned table that nothing reads any more."""
+    found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if found.isDefined():
+        _delete(df.sparkSession, found.get())
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
@@ -83,7 +90,10 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "stored_at", None)
     if path is None:
         return
-    spark = df.sparkSession
+    _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
