@@ -5,11 +5,11 @@
    characters, or with the string of an added token, are normalised and split by the library inside the task.
 2. Neighbouring texts form a block. A block keeps its words as positions into a list of its distinct words; the list is
    cut into parts by the hash of the word.
-3. The lists are dealt by part, once. Of all lists of a part, each distinct word is encoded once; its ids are decoded by a
-   join with the table of pieces; and a join on the word brings ids and pieces back to every list it stands in. These joins and
-   groups run where the part lies; only the table of distinct words is shuffled once more. A word stands once in a block's list, however often it stands in
+3. The lists are dealt by part, once. Of all lists of a part, each distinct word is encoded once, and a join on the word brings
+   its ids back to every list it stands in, where the part lies; only the table of distinct words is shuffled once more. A word stands once in a block's list, however often it stands in
    the texts, so the most frequent word takes no more of a part than there are blocks.
-4. The lists return to their block, where the positions pick the ids of each text in order.
+4. The ids that a block uses are joined with the table of pieces.
+5. Lists and pieces return to their block, where the positions pick the ids of each text in order, and the ids its pieces.
 """
 
 from __future__ import annotations
@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import _setting, partitions, table
-from lodeweave.session import pin
+from lodeweave.session import pin, unpin
 
-# Words in a block; a longer text is a block of its own.
-BLOCK_WORDS = 2_000_000
+# Words in a block; a longer text is a block of its own. The larger a block, the fewer distinct words it has for its size.
+BLOCK_WORDS = 8_000_000
+# Words of a block whose texts are put together at a time.
+SLICE_WORDS = 1_000_000
 # Below U+0300 no character combines with another; U+0130 is the one whose lower case does.
 PLAIN = r"\u0000-įı-˿"
 # The only normaliser, and the only way to split, that step 1 covers.
@@ -122,6 +124,8 @@ def _blocks(path: str, parts: int):
                 yield _block(block, ids.slice(at, to - at), counts[at:to], found.slice(at, to - at).flatten(), parts)
                 block += 1
                 at = to
+            del ids, hard, found, batch
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -131,13 +135,12 @@ def _block(block: int, ids: pa.Array, counts: np.ndarray, flat: pa.Array, parts:
     distinct = coded.dictionary.to_pylist()
     part = np.fromiter((zlib.crc32(w.encode()) % parts for w in distinct), np.int64, len(distinct))
     order = np.argsort(part, kind="stable")
-    place = np.empty(len(order), np.uint16 if len(order) <= 1 << 16 else np.uint32)
+    place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    codes = place[coded.indices.to_numpy(zero_copy_only=False)]
     heads = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) > 0))) if len(order) else np.zeros(0, np.int64)
     tails = np.concatenate((heads[1:], [len(order)])) if len(order) else heads
     lists = [{"part": int(part[order[a]]), "start": int(a), "words": " ".join([distinct[i] for i in order[a:b]])} for a, b in zip(heads, tails)]
-    packed = len(distinct).to_bytes(8, "little") + pa.Codec("zstd").compress(codes.tobytes(), asbytes=True)
+    packed = _pack(coded.indices.to_numpy(zero_copy_only=False), place)
     return pa.RecordBatch.from_pydict(
         {
             "block": pa.array([block], pa.int64()),
@@ -149,6 +152,31 @@ def _block(block: int, ids: pa.Array, counts: np.ndarray, flat: pa.Array, parts:
     )
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: first all low bytes, last all high ones, which are nearly all zero."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack(codes: np.ndarray, place: np.ndarray) -> bytes:
+    """Codes numbered by frequency, which compresses well, and the place in the lists of each number."""
+    by_count = np.argsort(-np.bincount(codes, minlength=len(place)), kind="stable")
+    number = np.empty(len(place), np.int64)
+    number[by_count] = np.arange(len(place))
+    raw = _planes(place[by_count]) + _planes(number[codes])
+    return len(place).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    """The place in the lists of each word of the block."""
+    n, size = int.from_bytes(packed[:8], "little"), int.from_bytes(packed[8:16], "little")
+    raw = pa.Codec("zstd").decompress(packed[16:], size, asbytes=True) if size else b""
+    return _unplanes(raw[: 4 * n])[_unplanes(raw[4 * n :])]
+
+
 def split_blocks(docs: DataFrame, path: str, parts: int) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     hard, found = _native(F.col("t"), Vocabulary.at(path))
@@ -167,18 +195,21 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.withColumn("ids", ids("word"))
 
 
+def with_pieces(ids: DataFrame, path: str) -> DataFrame:
+    """Rows with an ``id`` joined with its ``piece``, null for ids outside the vocabulary. The table of pieces has as many rows as
+    the vocabulary, whatever the input, and goes to all tasks."""
+    pieces = ids.sparkSession.createDataFrame(Vocabulary.at(path).pieces(), "id int, piece string")
+    return ids.join(F.broadcast(pieces), "id", "left")
+
+
 def decode(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """``(keys, ids, decoded)`` of rows ``(keys, ids)``: each id is joined with its piece, and the pieces of a key are put
+    """``(keys, decoded)`` of rows ``(keys, ids)``: each id is joined with its piece, and the pieces of a key are put
     together in order with spaces between them, as the library's decode does without a decoder. Keys must differ from row to
     row, and be short, as every id carries them; rows without ids have the empty text; ids outside the vocabulary have no
     piece."""
-    vocabulary = Vocabulary.at(path)
-    # As many rows as the vocabulary has, whatever the input.
-    pieces = F.broadcast(rows.sparkSession.createDataFrame(vocabulary.pieces(), "id int, piece string"))
-    placed = rows.select(*keys, F.posexplode_outer("ids").alias("at", "id")).join(pieces, "id", "left")
-    held = F.when(F.col("id").isNotNull(), F.struct("at", "id", "piece"))
-    told = F.array_join(F.transform("h", lambda x: x["piece"]), " ")
-    return placed.groupBy(*keys).agg(F.sort_array(F.collect_list(held)).alias("h")).select(*keys, F.transform("h", lambda x: x["id"]).alias("ids"), told.alias("decoded"))
+    placed = with_pieces(rows.select(*keys, F.posexplode_outer("ids").alias("at", "id")), path)
+    held = F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))
+    return placed.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(held)), lambda x: x["piece"]), " ").alias("decoded"))
 
 
 def _key(word: Column) -> Column:
@@ -187,29 +218,56 @@ def _key(word: Column) -> Column:
 
 
 def _answers(blocks: pa.Table, lists: pa.Table, whole: bool) -> pa.Table:
-    """The texts of one block, from the ids and pieces of its distinct words."""
+    """The texts of one block, from the ids of its distinct words and the pieces of its ids."""
     out: list[list] = [[] for _ in range(6 if whole else 4)]
     if blocks.num_rows:
-        lists = lists.sort_by("start")
-        ids, decoded = (pa.array(_cut(lists.column(c).to_pylist()), pa.large_string()) for c in ("ids", "decoded"))
-        tokens = (pc.count_substring(ids, " ").to_numpy(zero_copy_only=False) + 1).astype(np.int64)
-        packed = blocks.column("codes")[0].as_py()
+        words, pieces = _word_ids(lists), _pieces_by_id(lists)
+        ids = words.flatten()
+        tokens = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        told = pc.binary_join_element_wise(ids.cast(pa.string()), "", " ").cast(pa.large_string())
+        codes = _unpack(blocks.column("codes")[0].as_py())
         counts = np.array(blocks.column("counts")[0].as_py(), np.int64)
-        kind = np.uint16 if int.from_bytes(packed[:8], "little") <= 1 << 16 else np.uint32
-        size = int(counts.sum()) * np.dtype(kind).itemsize
-        codes = np.frombuffer(pa.Codec("zstd").decompress(packed[8:], size, asbytes=True), kind) if size else np.zeros(0, kind)
         ends = np.concatenate(([0], np.cumsum(counts)))
-        sums = np.concatenate(([0], np.cumsum(tokens[codes]) if len(codes) else []))
+        starts = np.concatenate(([0], np.cumsum(tokens)))[:-1]
         out[0] = blocks.column("doc_ids")[0].as_py()
-        out[1] = np.diff(sums[ends]).astype(np.int64)
-        at = pa.array(codes)
-        for column, words in ((2, ids), (3, decoded)):
-            texts = _joined(pc.binary_join_element_wise(words, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())).take(at), ends)
-            out[column] = [hashlib.sha256(t).hexdigest() for t in texts]
-            if whole:
-                out[column + 2] = pa.array(texts, pa.binary()).cast(pa.string())
+        at = 0
+        while at < len(counts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_WORDS, side="right")) - 1)
+            here = codes[ends[at] : ends[to]]
+            n = tokens[here]
+            # The place of each token of these texts among the ids of the block's words.
+            sums = np.concatenate(([0], np.cumsum(n)))
+            place = np.arange(sums[-1]) + np.repeat(starts[here] - sums[:-1], n)
+            cuts = sums[ends[at : to + 1] - ends[at]]
+            out[1] += np.diff(cuts).tolist()
+            taken = ids.take(pa.array(place))
+            for column, parts in ((2, told.take(pa.array(place))), (3, pieces.take(taken))):
+                texts = _joined(parts, cuts)
+                out[column] += [hashlib.sha256(t).hexdigest() for t in texts]
+                if whole:
+                    out[column + 2] += [t.decode() for t in texts]
+            at = to
+        del words, pieces, ids, told, codes
+        pa.default_memory_pool().release_unused()
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-    return pa.table([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(out, types)], _ANSWERS[: len(out)])
+    return pa.table([pa.array(c, t) for c, t in zip(out, types)], _ANSWERS[: len(out)])
+
+
+def _word_ids(lists: pa.Table) -> pa.ListArray:
+    """The ids of each word of the block, in the order of its lists."""
+    rows = lists.filter(pc.greater_equal(lists.column("start"), 0)).sort_by("start")
+    words = pa.array([w for one in rows.column("ids").to_pylist() for w in one.split("\n")], pa.string())
+    split = pc.split_pattern(words, " ")
+    return pa.ListArray.from_arrays(split.offsets, split.flatten().cast(pa.int32()))
+
+
+def _pieces_by_id(lists: pa.Table) -> pa.Array:
+    """The piece of each id with a space behind it; ids that the block does not use are empty."""
+    (row,) = lists.filter(pc.less(lists.column("start"), 0)).column("pieces").to_pylist() or [[]]
+    out = [""] * (1 + max((p["id"] for p in row), default=-1))
+    for p in row:
+        out[p["id"]] = p["piece"] + " "
+    return pa.array(out, pa.large_string())
 
 
 def _joined(words: pa.Array, ends: np.ndarray) -> list[bytes]:
@@ -220,10 +278,6 @@ def _joined(words: pa.Array, ends: np.ndarray) -> list[bytes]:
     return [bytes(data[a : max(a, b - 1)]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
-def _cut(lists: list[str]) -> list[str]:
-    return [w for one in lists for w in one.split("\n")]
-
-
 def encode(docs: DataFrame, path: str, whole: bool = True) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, ids_text, decoded)`` of each text of ``(doc_id, text)``, as the library
     encodes it without further tokens and decodes it with all of them; ``ids_text`` are the ids with spaces between.
@@ -241,14 +295,22 @@ def encode(docs: DataFrame, path: str, whole: bool = True) -> DataFrame:
     with _setting(spark, CO_PARTITION, "false"):
         # Spark forgets the layout behind a Python function, so the ids of the distinct words are dealt again.
         encoded = encode_words(listed.select("part", "key", "word").distinct(), path).drop("word").repartition(parts, "part")
-        spelled = decode(encoded, path, ["part", "key"])
+        ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids")
         told = (
-            listed.drop("word").hint("merge").join(spelled, ["part", "key"])
+            listed.drop("word")
+            .hint("merge")
+            .join(encoded.select("part", "key", ids), ["part", "key"])
             .groupBy("part", "block", "start")
-            .agg(F.sort_array(F.collect_list(F.struct("at", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"), "decoded"))).alias("w"))
-            .select("block", "start", F.array_join(F.transform("w", lambda x: x["ids"]), "\n").alias("ids"), F.array_join(F.transform("w", lambda x: x["decoded"]), "\n").alias("decoded"))
+            .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("w"))
+            .select("block", "start", F.array_join(F.transform("w", lambda x: x["ids"]), "\n").alias("ids"))
         )
         told = table(told, "lists")
+    unpin(dealt)
+    used = told.select("block", F.explode(F.split(F.translate("ids", "\n", " "), " ")).alias("id")).select("block", F.col("id").cast("int").alias("id"))
+    pieces = with_pieces(used.distinct(), path).groupBy("block").agg(F.collect_list(F.struct("id", "piece")).alias("pieces"))
+    lists = told.withColumn("pieces", F.lit(None).cast("array<struct<id:int,piece:string>>")).unionByName(
+        pieces.select("block", F.lit(-1).alias("start"), F.lit(None).cast("string").alias("ids"), "pieces")
+    )
     texts = blocks.select("block", "doc_ids", "counts", "codes")
     answer = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids_text string, decoded string" if whole else "")
-    return texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda b, w: _answers(b, w, whole), answer)
+    return texts.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(lambda b, w: _answers(b, w, whole), answer)
