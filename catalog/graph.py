@@ -10,6 +10,9 @@ from lodeweave.session import cut
 QUERIES: dict = {}
 SQL: dict = {}
 
+#: Bound of forward push in the registered queries: mass missed per unit of a node's weight.
+PPR_EPS = 1e-5
+
 
 def _both(spark, d):
     return base.index(spark, d)["edges"]
@@ -84,6 +87,13 @@ def personalized_pagerank(spark, d):
     return iterate.ppr(_both(spark, d), seeds, 3).withColumn("mass", F.round(F.col("mass") + 1e-13, 9))
 
 
+def ppr_push(spark, d):
+    """Masses by forward push; the settled state, not the number of rounds, is what the SQL repeats."""
+    seeds = cut(_seeds(spark, d).withColumn("w", F.lit(1.0)))
+    out = iterate.push_ppr(base.index(spark, d)["adjacency"], seeds, 0.5, PPR_EPS)
+    return out.withColumn("mass", F.round(F.col("mass") + 1e-13, 9))
+
+
 def triangle_count(spark, d):
     return graph.triangles(_both(spark, d)).withColumn("clustering", F.round("clustering", 6))
 
@@ -114,7 +124,7 @@ def induced_subgraph(spark, d):
 
 for _f in (
     degree_stats, triple_pattern, k_hop, connected_components, shortest_path, label_propagation,
-    community_hierarchy, contract_graph, modularity, pagerank, personalized_pagerank, triangle_count,
+    community_hierarchy, contract_graph, modularity, pagerank, personalized_pagerank, ppr_push, triangle_count,
     neighbor_similarity, k_core, community_rollup, induced_subgraph,
 ):
     QUERIES[_f.__name__] = _f
@@ -197,6 +207,27 @@ def ppr_rounds(rounds: int, d: float) -> str:
     return ",\n".join(parts)
 
 
+def push_rounds(rounds: int, d: float, eps: float) -> str:
+    """Rounds of forward push up to ``pushed``, an error if the last one leaves a residual over the bound."""
+    due = f"r > 0 AND round(r, 12) >= round(t * {eps!r}::DOUBLE, 12)"
+    parts = [
+        "nw AS MATERIALIZED (SELECT src AS node, sum(weight)::DOUBLE AS t FROM both_ways GROUP BY src)",
+        "ep AS MATERIALIZED (SELECT src, dst, weight / t AS p FROM both_ways JOIN nw ON node = src)",
+        "p0 AS MATERIALIZED (SELECT q_id, node, 0.0::DOUBLE AS m, 1.0::DOUBLE / count(*) OVER (PARTITION BY q_id) AS r, coalesce(t, 0) AS t FROM qents LEFT JOIN nw USING (node))",
+    ]
+    for k in range(1, rounds + 1):
+        parts.append(
+            f"p{k} AS MATERIALIZED (SELECT q_id, node, sum(m) AS m, sum(r) AS r, coalesce(any_value(nw.t), 0) AS t FROM ("
+            f"SELECT q_id, node, m + CASE WHEN {due} THEN (1 - {d}::DOUBLE) * r ELSE 0 END AS m, CASE WHEN {due} THEN 0 ELSE r END AS r FROM p{k - 1} "
+            f"UNION ALL SELECT q_id, dst, 0, r * p * {d}::DOUBLE FROM p{k - 1} JOIN ep ON src = node WHERE {due}) LEFT JOIN nw USING (node) GROUP BY ALL)"
+        )
+    parts.append(
+        f"pushed AS MATERIALIZED (SELECT q_id, node, CASE WHEN {due} THEN error('residuals not settled') ELSE m + (1 - {d}::DOUBLE) * r END AS mass FROM p{rounds})"
+    )
+    return ",\n".join(parts)
+
+
+SQL["ppr_push"] = with_ctes("SELECT q_id, node, round(mass + 1e-13, 9) AS mass FROM pushed", push_rounds(12, 0.5, PPR_EPS))
 SQL["personalized_pagerank"] = with_ctes("SELECT q_id, node, round(mass + 1e-13, 9) AS mass FROM m3", ppr_rounds(3, 0.85))
 SQL["triangle_count"] = with_ctes("""
 SELECT node, degree, coalesce(t, 0) AS n_triangles,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import base
 from catalog.base import cte, hits_out, with_ctes
-from catalog.graph import ppr_rounds
+from catalog.graph import PPR_EPS, ppr_rounds, push_rounds
 from lodeweave.operators import retrieve, vectors
 from lodeweave.session import cut
 from lodeweave.sources import readers
@@ -102,7 +102,13 @@ def local_graph_search(spark, d):
 
 def ppr_graph_search(spark, d):
     i = base.index(spark, d)
-    return hits_out(retrieve.ppr_search(base.questions(spark, d), i["edges"], i["weights"]))
+    return hits_out(retrieve.ppr_search(base.questions(spark, d), i["edges"], i["weights"], eps=PPR_EPS, graph=i["adjacency"]))
+
+
+def ppr_graph_search_exact(spark, d):
+    """Three rounds of iteration over the whole graph, with which the pushed masses are compared."""
+    i = base.index(spark, d)
+    return hits_out(retrieve.ppr_search(base.questions(spark, d), i["edges"], i["weights"], eps=None))
 
 
 def global_graph_search(spark, d):
@@ -112,7 +118,7 @@ def global_graph_search(spark, d):
 
 for _f in (
     bm25_topk, tfidf_cosine_topk, vector_topk, ivf_topk, lsh_topk, rrf_fuse, filtered_topk, filtered_vector_topk, hash_embed,
-    parent_expand, hits_dedup, mmr_rerank, local_graph_search, ppr_graph_search, global_graph_search,
+    parent_expand, hits_dedup, mmr_rerank, local_graph_search, ppr_graph_search, ppr_graph_search_exact, global_graph_search,
 ):
     QUERIES[_f.__name__] = _f
 
@@ -230,10 +236,12 @@ cte("local_hits", f"""
       FROM (SELECT * FROM hop0 UNION ALL SELECT * FROM hop1) h JOIN ment_weights m ON m.entity = h.node GROUP BY q_id, chunk_id))
     WHERE rank <= 10""")
 SQL["local_graph_search"] = with_ctes("SELECT q_id, chunk_id, score, rank, via FROM local_hits")
-SQL["ppr_graph_search"] = with_ctes(f"""
+_PPR = f"""
 SELECT * FROM (SELECT q_id, chunk_id, score, {_RANK} AS rank, 'ppr' AS via FROM (
-  SELECT q_id, chunk_id, round(sum(mass * weight), 6) AS score FROM m3 JOIN ment_weights w ON w.entity = m3.node GROUP BY q_id, chunk_id))
-WHERE rank <= 10""", ppr_rounds(3, 0.5))
+  SELECT q_id, chunk_id, round(sum(mass * weight), 6) AS score FROM {{}} m JOIN ment_weights w ON w.entity = m.node GROUP BY q_id, chunk_id))
+WHERE rank <= 10"""
+SQL["ppr_graph_search"] = with_ctes(_PPR.format("pushed"), push_rounds(12, 0.5, PPR_EPS))
+SQL["ppr_graph_search_exact"] = with_ctes(_PPR.format("m3"), ppr_rounds(3, 0.5))
 
 cte("seen", "SELECT community, entity, chunk_id, n FROM ments JOIN member ON node = entity")
 cte("central", """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodeweave.functions import text as tx
-from lodeweave.operators.iterate import k_hop, ppr
+from lodeweave.operators.iterate import adjacency, k_hop, ppr, push_ppr
 from lodeweave.operators.skew import ROWS_PER_TASK, add_salt, hot_keys, salted_join
 from lodeweave.session import cut
 
@@ -291,6 +291,16 @@ def question_entities(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return question_terms(questions).join(known, "term", "left_semi").select("q_id", F.col("term").alias("node"))
 
 
+def mention_scores(mass: DataFrame, mention_weights: DataFrame) -> DataFrame:
+    """``(q_id, chunk_id, score)``: the sum of ``mass`` ``(q_id, node, mass)`` times weight over the mentions of a chunk.
+
+    Mentions are stored in buckets by chunk. Where the masses are small enough for Spark to send to all tasks, the sums
+    are made where the mentions lie and only the best of a task are shuffled; beyond that size both sides are shuffled by node.
+    """
+    held = mass.join(mention_weights.withColumnRenamed("entity", "node"), "node")
+    return held.groupBy("q_id", "chunk_id").agg(F.sum(F.col("mass") * F.col("weight")).alias("score"))
+
+
 def local_search(
     questions: DataFrame, edges: DataFrame, mention_weights: DataFrame, k: int = 10, hops: int = 1
 ) -> DataFrame:
@@ -300,12 +310,8 @@ def local_search(
     entities of that times the tf-idf weight of the mention. ``edges`` hold both directions.
     """
     near = k_hop(edges, question_entities(questions, mention_weights), hops)
-    scored = (
-        near.join(mention_weights.withColumnRenamed("entity", "node"), "node")
-        .groupBy("q_id", "chunk_id")
-        .agg(F.sum(F.col("weight") / (1 + F.col("hop"))).alias("score"))
-    )
-    return top_k(scored, k, "local")
+    mass = cut(near.select("q_id", "node", (1.0 / (1 + F.col("hop"))).alias("mass")))
+    return top_k(mention_scores(mass, mention_weights), k, "local")
 
 
 def ppr_search(
@@ -313,20 +319,23 @@ def ppr_search(
     edges: DataFrame,
     mention_weights: DataFrame,
     k: int = 10,
-    rounds: int = 3,
     d: float = 0.5,
-    floor: float = 0.0,
+    eps: float | None = 1e-5,
+    rounds: int = 3,
+    graph: DataFrame | None = None,
 ) -> DataFrame:
     """Chunks by the personalised PageRank mass of the entities they mention, weighted
-    by tf-idf (after Gutiérrez et al. 2024)."""
+    by tf-idf (after Gutiérrez et al. 2024).
+
+    Masses come from forward push with the bound ``eps`` over ``graph`` (``iterate.adjacency`` of the edges, worth keeping next to an
+    index), or, where ``eps`` is None, from ``rounds`` of exact iteration, which reads the whole graph for each question.
+    """
     seeds = cut(question_entities(questions, mention_weights).withColumn("w", F.lit(1.0)))
-    mass = ppr(edges, seeds, rounds, d, floor)
-    scored = (
-        mass.join(mention_weights.withColumnRenamed("entity", "node"), "node")
-        .groupBy("q_id", "chunk_id")
-        .agg(F.sum(F.col("mass") * F.col("weight")).alias("score"))
-    )
-    return top_k(scored, k, "ppr")
+    if eps is None:
+        mass = ppr(edges, seeds, rounds, d)
+    else:
+        mass = push_ppr(cut(adjacency(edges)) if graph is None else graph, seeds, d, eps)
+    return top_k(mention_scores(cut(mass.where("mass > 0")), mention_weights), k, "ppr")
 
 
 def global_search(questions: DataFrame, reports: DataFrame, terms: DataFrame, k: int = 3) -> DataFrame:

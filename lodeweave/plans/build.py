@@ -25,6 +25,7 @@ class Index:
     ``mentions`` ``(entity, chunk_id, n)``
     ``weights``  mentions with tf-idf weight
     ``edges``    entity co-occurrence, both directions
+    ``adjacency`` the edges as lists of neighbours
     ``members``  ``(node, community)``
     ``terms``    ``(community, term, n)``, all terms of a community
     ``reports``  community reports
@@ -32,7 +33,7 @@ class Index:
     """
 
     #: Tables bucketed by chunk, into as many buckets as the session has shuffle partitions.
-    BY_CHUNK = ("postings", "norms")
+    BY_CHUNK = ("postings", "norms", "weights")
 
     def __init__(self, spark: SparkSession, docs: DataFrame, root: str | None = None, rounds: int = 3):
         self.spark, self.root, self.rounds = spark, root or new_path(spark, "index"), rounds
@@ -75,11 +76,14 @@ class Index:
         return graph_build.entities_in(self["postings"], graph_build.entity_band(self.docs))
 
     def _weights(self) -> DataFrame:
-        return graph_build.mention_edges(self["mentions"], self["chunks"])
+        return graph_build.mention_edges(self["mentions"], self["chunks"]).repartition(self.buckets, "chunk_id")
 
     def _edges(self) -> DataFrame:
         return iterate.symmetric(graph_build.cooccur(self["mentions"]))
 
+    def _adjacency(self) -> DataFrame:
+        return iterate.adjacency(self["edges"])
+
     def _members(self) -> DataFrame:
         return iterate.communities(self["edges"], self.rounds)
 
@@ -93,6 +97,6 @@ class Index:
 def build_index(spark: SparkSession, docs: DataFrame, root: str | None = None) -> Index:
     """Build every table now, in dependency order."""
     index = Index(spark, docs, root)
-    for name in ("chunks", "postings", "rarity", "stats", "norms", "vectors", "mentions", "weights", "edges", "members", "terms", "reports"):
+    for name in ("chunks", "postings", "rarity", "stats", "norms", "vectors", "mentions", "weights", "edges", "adjacency", "members", "terms", "reports"):
         index[name]
     return index

@@ -1,6 +1,10 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from lodeweave.operators import graph, iterate
+from lodeweave.session import cut
 
 CLIQUES = [(a, b) for g in ("abcd", "efgh") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "e")]
 
@@ -85,3 +89,36 @@ def test_match_needs_a_shared_variable(spark):
     assert [tuple(r) for r in graph.match(t, [("?x", "r", "?y"), ("?y", "s", "?z")]).select("x", "y", "z").collect()] == [("a", "b", "c")]
     with pytest.raises(ValueError):
         graph.match(t, [("?x", "r", "?y"), ("?u", "s", "?v")])
+
+
+def _random_graph(spark, n, m, seed):
+    r = random.Random(seed)
+    pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)} | {(0, k) for k in range(1, n)}
+    rows = [(f"n{a}", f"n{b}", r.randint(1, 9)) for a, b in sorted(pairs)]
+    return cut(iterate.symmetric(spark.createDataFrame(rows, "src string, dst string, weight long")))
+
+
+@pytest.mark.parametrize("eps", [1e-2, 1e-4])
+def test_push_stays_within_its_bound(spark, monkeypatch, eps):
+    """Never over the converged masses, and under them by eps times the weight of the node at most; a hub has several lists."""
+    monkeypatch.setattr(iterate, "LIST", 16)
+    edges = _random_graph(spark, 60, 150, 1)
+    seeds = spark.createDataFrame([(1, "n5", 1.0), (1, "n9", 3.0), (2, "n0", 1.0), (3, "lone", 2.0)], "q_id long, node string, w double")
+    graph = cut(iterate.adjacency(edges))
+    assert graph.where("src = 'n0'").count() > 1
+    weight = {r["node"]: r["w"] for r in edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("w")).collect()}
+    exact = {(r["q_id"], r["node"]): r["mass"] for r in iterate.ppr(edges, seeds, 45, 0.5).collect()}
+    got = {(r["q_id"], r["node"]): r["mass"] for r in iterate.push_ppr(graph, seeds, 0.5, eps).collect()}
+    assert got.pop((3, "lone")) == exact.pop((3, "lone")) == 0.5
+    for key, mass in exact.items():
+        assert -1e-9 <= mass - got.get(key, 0.0) <= eps * weight[key[1]] + 1e-9
+    assert set(got) <= set(exact)
+    assert iterate.push_ppr(graph, seeds.limit(0), 0.5, eps).count() == 0
+
+
+def test_push_reads_only_the_surroundings(spark):
+    """On a long path with a loose bound the far end is never reached."""
+    rows = [(f"p{k:04d}", f"p{k + 1:04d}", 1) for k in range(2000)]
+    graph = cut(iterate.adjacency(iterate.symmetric(spark.createDataFrame(rows, "src string, dst string, weight long"))))
+    seeds = spark.createDataFrame([(1, "p0000", 1.0)], "q_id long, node string, w double")
+    assert iterate.push_ppr(graph, seeds, 0.5, 1e-3).count() < 40

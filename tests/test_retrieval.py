@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 import catalog
 from catalog import base
 from lodeweave.operators import agent, context, evaluate, ordered, retrieve, vectors
+from lodeweave.plans.build import Index
 from lodeweave.session import new_path
 from lodeweave.sources import readers
 
@@ -163,3 +164,14 @@ def test_buckets_do_not_grow_with_the_vectors():
     for n in (500, 5_000, 50_000, 5_000_000):
         assert vectors.BUCKET_ROWS / 2 <= n / 2 ** vectors.code_bits(n) <= vectors.BUCKET_ROWS
     assert vectors.code_bits(0) == vectors.code_bits(1) == 1
+
+
+def test_pushed_masses_rank_like_exact_ones(spark, sf):
+    """Ten best chunks by forward push against those by converged masses."""
+    docs = readers.read_documents(spark, sf)
+    index = Index(spark, docs)
+    questions = index["chunks"].where("chunk_no = 0").select(F.col("doc_id").alias("q_id"), "text").limit(40)
+    best = lambda hits: {(r["q_id"], r["chunk_id"]) for r in hits.collect()}
+    exact = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=None, rounds=12))
+    pushed = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=1e-5, graph=index["adjacency"]))
+    assert len(exact & pushed) >= 0.95 * len(exact)
