@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import _setting, partitions, table
-from lodeweave.session import pin, unpin
+from lodeweave.session import new_path, pin, unpin
+from lodeweave.sources.index import write_bucketed
 
 # Words in a block; a longer text is a block of its own. The larger a block, the fewer distinct words it has for its size.
 BLOCK_WORDS = 8_000_000
@@ -288,7 +290,9 @@ def encode(docs: DataFrame, path: str, whole: bool = True) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    blocks = table(split_blocks(docs, path, parts), "blocks")
+    # Stored by block, so the positions, the largest part of all, never move again.
+    name = f"blocks_{uuid.uuid4().hex}"
+    blocks = write_bucketed(split_blocks(docs, path, parts), name, ["block"], parts, new_path(spark, "blocks"))
     # Dealt once; the checkpoint keeps the layout, so that what follows needs no shuffle.
     dealt = pin(blocks.select("block", F.inline("lists")).repartition(parts, "part"))
     listed = dealt.select("part", "block", "start", F.posexplode(F.split("words", " ")).alias("at", "word")).withColumn("key", _key(F.col("word")))

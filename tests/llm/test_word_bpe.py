@@ -66,8 +66,11 @@ def test_words_are_dealt_once(spark, sf, monkeypatch):
         return real(df, name)
 
     monkeypatch.setattr(word_bpe, "table", spy)
-    word_bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), WORD_PIECES)
+    answers = word_bpe.encode(spark.read.parquet(f"{sf}/documents.parquet"), WORD_PIECES)
     (plan,) = plans
+    last = answers._jdf.queryExecution().executedPlan().toString()
+    texts = last[last.index("FlatMapCoGroups") : last.index("FileScan parquet")]
+    assert "Exchange" not in texts and "codes" in texts  # the positions stay in their bucket
     assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan and "SortMergeJoin [part" in plan
 
 
