@@ -172,6 +172,6 @@ def test_pushed_masses_rank_like_exact_ones(spark, sf):
     index = Index(spark, docs)
     questions = index["chunks"].where("chunk_no = 0").select(F.col("doc_id").alias("q_id"), "text").limit(40)
     best = lambda hits: {(r["q_id"], r["chunk_id"]) for r in hits.collect()}
-    exact = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=None, rounds=12))
+    exact = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=None, rounds=8))
     pushed = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=1e-5, graph=index["adjacency"]))
     assert len(exact & pushed) >= 0.95 * len(exact)
