@@ -160,14 +160,30 @@ for _r in range(4):
         SELECT id, u, list FROM (SELECT id, u, list, row_number() OVER (PARTITION BY id ORDER BY list_distance(u, p), list) AS r FROM units, pivot{_r}) WHERE r = 1""")
     cte(f"pivot{_r + 1}", f"""
         SELECT list, list(m ORDER BY i) AS p FROM (SELECT list, i, avg(u[i]) AS m FROM placed{_r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY list""")
-cte("probed", "SELECT id, u, list FROM (SELECT id, u, list, row_number() OVER (PARTITION BY id ORDER BY list_distance(u, p), list) AS r FROM units, pivot3) WHERE r <= 4")
+# The reach of both searches: as far as 95 hundredths of the neighbours of up to 100 questions of least hash need.
+cte("trial", "SELECT q_id, id FROM exact_hits WHERE q_id IN (SELECT id FROM units ORDER BY md5(id::VARCHAR), id LIMIT 100)")
+_ENOUGH = "SELECT r FROM (SELECT r, row_number() OVER (ORDER BY r) AS i, count(*) OVER () AS n FROM {needs}) WHERE i = (95 * n + 99) // 100"
+cte("list_order", "SELECT id, u, list, row_number() OVER (PARTITION BY id ORDER BY list_distance(u, p), list) AS r FROM units, pivot3")
+cte("list_needs", "SELECT o.r FROM trial t JOIN placed3 b ON b.id = t.id JOIN list_order o ON o.id = t.q_id AND o.list = b.list")
+cte("list_reach", _ENOUGH.format(needs="list_needs"))
+cte("probed", "SELECT id, u, list FROM list_order WHERE r <= (SELECT r FROM list_reach)")
 cte("ivf_hits", _TOP5.format(via="ivf", pairs="probed a JOIN placed3 b USING (list)"))
 # Planes: bits of md5 as signs, first bit of a digit first.
 cte("plane", """
     SELECT t, b, list_transform(range(64), lambda i: CASE WHEN (('0x' || h[i // 4 + 1])::INTEGER >> (3 - i % 4)) & 1 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w
     FROM (SELECT t, b, md5(t || ':' || b || ':0') AS h FROM range(8) tt(t), range((SELECT greatest(1, ceil(log2(count(*) / 8.0)))::BIGINT FROM embeddings)) bb(b))""")
-cte("coded", "SELECT id, u, t, sum((list_dot_product(u, w) > 0)::BIGINT << b) AS code FROM units, plane GROUP BY ALL")
-cte("lsh_hits", _TOP5.format(via="lsh", pairs="coded a JOIN coded b USING (t, code)"))
+cte("coded", "SELECT id, u, t, sum((list_dot_product(u, w) > 0)::BIGINT << b)::BIGINT AS code FROM units, plane GROUP BY ALL")
+cte("margins", "SELECT id, t, b, list_dot_product(u, w) AS m FROM units, plane")
+cte("flips", "SELECT x AS mask FROM range((SELECT 1::BIGINT << (max(b) + 1) FROM plane)) r(x) WHERE bit_count(x) <= 4")
+cte("steps", """
+    SELECT id, t, mask, row_number() OVER (PARTITION BY id, t ORDER BY cost, mask) AS r FROM (
+      SELECT id, t, mask, sum(CASE WHEN (mask >> b) & 1 = 1 THEN m * m ELSE 0 END) AS cost FROM margins, flips GROUP BY ALL)""")
+cte("step_needs", """
+    SELECT coalesce(min(s.r), 1 + (SELECT count(*) FROM flips)) AS r FROM trial x JOIN coded a ON a.id = x.q_id JOIN coded b ON b.id = x.id AND b.t = a.t
+    LEFT JOIN steps s ON s.id = a.id AND s.t = a.t AND s.mask = xor(a.code, b.code) GROUP BY x.q_id, x.id""")
+cte("step_reach", _ENOUGH.format(needs="step_needs"))
+cte("near_codes", "SELECT c.id, u, t, xor(code, mask) AS code FROM coded c JOIN steps USING (id, t) WHERE r <= (SELECT r FROM step_reach)")
+cte("lsh_hits", _TOP5.format(via="lsh", pairs="near_codes a JOIN coded b USING (t, code)"))
 SQL["ivf_topk"] = with_ctes("SELECT q_id, id, score, rank, via FROM ivf_hits")
 SQL["lsh_topk"] = with_ctes("SELECT q_id, id, score, rank, via FROM lsh_hits")
 # Diversity: five rounds, each takes the best and brings the rest nearer to it.

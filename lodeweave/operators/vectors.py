@@ -6,7 +6,9 @@ Questions are ``(q_id, embedding)``; vectors are ``(id, embedding)``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,10 @@ from lodeweave.session import cut, discard
 MAX_LISTS = 4096
 #: Vectors that a hyperplane bucket is meant to hold.
 BUCKET_ROWS = 8
+#: Questions whose exact answers decide how far an approximate search reads, and the hundredths of their neighbours that it must find.
+TRIALS, FOUND = 100, 95
+#: Most bits in which a probed bucket differs from the question's own.
+FLIPS = 4
 
 
 def list_count(vectors: DataFrame) -> int:
@@ -49,19 +55,56 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Differences between vectors and pivots that a task holds at a time.
+CELLS = 4_000_000
+
+
+class Pivots:
+    """The pivots of all lists, at most ``MAX_LISTS``, in the order of their lists; every task gets a copy."""
+
+    def __init__(self, pivots: DataFrame):
+        rows = sorted((r["list"], r["pivot"]) for r in pivots.collect())
+        self.lists = np.array([r[0] for r in rows], object)
+        self.points = np.array([r[1] for r in rows], float)
+        self.kind = dict(pivots.dtypes)["list"]
+
+    def squared(self, m: np.ndarray) -> Iterator[np.ndarray]:
+        """Squared distances of some rows of ``m`` at a time to all pivots."""
+        step = max(1, CELLS // max(self.points.size, 1))
+        for at in range(0, len(m), step):
+            gap = m[at : at + step, None] - self.points
+            yield np.einsum("nld,nld->nl", gap, gap)
+
+    def nearest(self, embedding: str) -> Column:
+        """A struct of the nearest list, the least on ties, and its distance."""
+
+        def find(col: pd.Series) -> pd.DataFrame:
+            parts = list(self.squared(np.vstack(col.to_numpy()).astype(float))) if len(col) else []
+            at = np.concatenate([d.argmin(axis=1) for d in parts]) if parts else np.zeros(0, int)
+            far = np.sqrt(np.concatenate([d.min(axis=1) for d in parts])) if parts else np.zeros(0)
+            return pd.DataFrame({"list": self.lists[at], "dist": far})
+
+        find.__annotations__ = {"col": pd.Series, "return": pd.DataFrame}
+        return F.pandas_udf(find, f"list {self.kind}, dist double")(embedding)
+
+    def order(self, embedding: str, n: int | None = None) -> Column:
+        """The ``n`` nearest lists, nearest first, or all."""
+
+        def find(col: pd.Series) -> pd.Series:
+            parts = self.squared(np.vstack(col.to_numpy()).astype(float)) if len(col) else []
+            return pd.Series([row for d in parts for row in self.lists[d.argsort(axis=1, kind="stable")[:, :n]].tolist()], dtype=object)
+
+        find.__annotations__ = {"col": pd.Series, "return": pd.Series}
+        return F.pandas_udf(find, f"array<{self.kind}>")(embedding)
+
+
 def place(vectors: DataFrame, pivots: DataFrame, id_col: str = "id") -> DataFrame:
-    """``(id, embedding, list, dist)``: each vector in the list of its nearest pivot ``(list, pivot)``. The pivots,
-    at most ``MAX_LISTS``, reach the vectors as one scalar value, so nothing is shuffled."""
-    packed = pivots.agg(F.array_sort(F.collect_list(F.struct("list", "pivot"))).alias("ps")).scalar()
-    nearest = F.array_min(
-        F.transform("ps", lambda p: F.struct(_squared(F.col("embedding"), p["pivot"]).alias("d2"), p["list"].alias("list")))
-    )
-    placed = (
-        vectors.select(id_col, "embedding", packed.alias("ps"))
-        .select(id_col, "embedding", nearest.alias("n"))
-        .select(id_col, "embedding", F.col("n.list").alias("list"), F.sqrt("n.d2").alias("dist"))
-    )
-    return cut(placed)
+    """``(id, embedding, list, dist)``: each vector in the list of its nearest pivot ``(list, pivot)``. Nothing is shuffled."""
+    held = Pivots(pivots)
+    if not len(held.lists):
+        return cut(vectors.select(id_col, "embedding", F.lit(None).cast(held.kind).alias("list"), F.lit(None).cast("double").alias("dist")).limit(0))
+    found = vectors.select(id_col, "embedding", held.nearest("embedding").alias("n"))
+    return cut(found.select(id_col, "embedding", F.col("n.list").alias("list"), F.col("n.dist").alias("dist")))
 
 
 def assign_lists(vectors: DataFrame, n_lists: int, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -177,32 +220,47 @@ def probe(
     return top_k(scored, k, via, ties=id_col)
 
 
+def trials(questions: DataFrame, vectors: DataFrame, k: int, id_col: str = "id") -> DataFrame:
+    """``(q_id, qv, id, embedding)``: the exact best ``k`` of the at most ``TRIALS`` questions with the least hash of their
+    id, all unit vectors. The questions reach the vectors as one scalar value, so only the best of a task are shuffled."""
+    asked = cut(questions.orderBy(F.md5(F.col("q_id").cast("string")), "q_id").limit(TRIALS).select("q_id", F.col("embedding").alias("qv")))
+    packed = asked.agg(F.array_sort(F.collect_list(F.struct("q_id", "qv"))).alias("qs")).scalar()
+    scored = (
+        vectors.select(id_col, "embedding", F.explode(packed).alias("q"))
+        .select(F.col("q.q_id").alias("q_id"), id_col, F.round(dot("q.qv", "embedding"), SCORE_DIGITS).alias("score"))
+    )
+    best = cut(top_k(scored, k, "", ties=id_col).select("q_id", id_col))
+    return best.join(asked, "q_id").join(vectors.select(id_col, "embedding"), id_col)
+
+
+def enough(needs: list[int]) -> int:
+    """The least reach that covers ``FOUND`` hundredths of the needs."""
+    return sorted(needs)[-(-FOUND * len(needs) // 100) - 1] if needs else 1
+
+
 def ivf(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = 10,
     n_lists: int | None = None,
-    n_probe: int = 4,
+    n_probe: int | None = None,
     id_col: str = "id",
     rounds: int = 3,
 ) -> DataFrame:
-    """Approximate best ``k`` over the ``n_probe`` nearest lists (Jégou et al. 2011)."""
+    """Approximate best ``k`` over the ``n_probe`` nearest lists (Jégou et al. 2011).
+
+    Without ``n_probe`` the number is measured: up to ``TRIALS`` questions are answered exactly, and as many lists are read as hold
+    ``FOUND`` hundredths of their neighbours. Vectors with clusters need few lists, vectors without any need about half of
+    them, at any size.
+    """
     v = cut(unit(vectors.select(id_col, "embedding")))
-    q = unit(questions.select("q_id", "embedding"))
+    q = cut(unit(questions.select("q_id", "embedding")))
     placed, pivots = mean_lists(v, n_lists or list_count(v), rounds, id_col)
-    packed = pivots.agg(F.array_sort(F.collect_list(F.struct("list", "pivot"))).alias("ps")).scalar()
-    near = F.slice(
-        F.array_sort(
-            F.transform("ps", lambda p: F.struct(_squared(F.col("embedding"), p["pivot"]).alias("d"), p["list"].alias("list")))
-        ),
-        1,
-        n_probe,
-    )
-    probes = (
-        q.select("q_id", "embedding", packed.alias("ps"))
-        .select("q_id", F.col("embedding").alias("qv"), F.explode(near).alias("p"))
-        .select("q_id", "qv", "p.list")
-    )
+    held = Pivots(pivots)
+    if n_probe is None:
+        true = trials(q, v, k, id_col).join(placed.select(id_col, "list"), id_col)
+        n_probe = enough([r[0] for r in true.select(F.array_position(held.order("qv"), F.col("list"))).collect()])  # at most TRIALS * k
+    probes = q.select("q_id", F.col("embedding").alias("qv"), F.explode(held.order("embedding", n_probe)).alias("list"))
     return probe(placed.drop("dist"), probes, k, id_col, "ivf")
 
 
@@ -235,6 +293,57 @@ def bucket_codes(df: DataFrame, id_col: str, dim: int, bits: int, tables: int) -
     return df.select(id_col, "embedding", F.explode(codes("embedding")).alias("list"))
 
 
+def flip_sets(bits: int) -> np.ndarray:
+    """All sets of up to ``FLIPS`` bits, in order of their masks, as rows of zeros and ones."""
+    masks = sorted(sum(1 << b for b in c) for n in range(min(FLIPS, bits) + 1) for c in itertools.combinations(range(bits), n))
+    return (np.array(masks)[:, None] >> np.arange(bits)) & 1
+
+
+def _sides(m: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    return np.einsum("nd,tbd->ntb", m, normals)
+
+
+def _probe_order(sides: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """For each row of distances to the planes of a table, the flip sets from the least to the most sum of squares."""
+    return np.argsort(np.square(sides) @ sets.T, axis=-1, kind="stable")
+
+
+def flip_needs(q: np.ndarray, v: np.ndarray, normals: np.ndarray, sets: np.ndarray) -> list[int]:
+    """For each pair of a question and a neighbour, how many buckets of each table must be read until one holds it;
+    one more than there are, if none does."""
+    power = 1 << np.arange(normals.shape[1])
+    masks = sets @ power
+    needs = np.full(len(q), len(masks) + 1)
+    for t in range(len(normals)):
+        a, b = _sides(q, normals[t : t + 1])[:, 0], _sides(v, normals[t : t + 1])[:, 0]
+        apart = ((a > 0) != (b > 0)) @ power
+        order = _probe_order(a, sets)
+        at = masks[order] == apart[:, None]
+        needs = np.minimum(needs, np.where(at.any(axis=1), at.argmax(axis=1) + 1, len(masks) + 1))
+    return needs.tolist()
+
+
+def probe_codes(df: DataFrame, normals: np.ndarray, sets: np.ndarray, n: int) -> DataFrame:
+    """``(q_id, qv, list)``: the ``n`` buckets of each table nearest to a question, by the margins of the bits that differ
+    (multi-probe, Lv et al. 2007)."""
+    power = 1 << np.arange(normals.shape[1])
+
+    @F.pandas_udf("array<string>")
+    def codes(col: pd.Series) -> pd.Series:
+        if not len(col):
+            return pd.Series([], dtype=object)
+        out: list[list[str]] = [[] for _ in range(len(col))]
+        m = np.vstack(col.to_numpy())
+        for t in range(len(normals)):
+            sides = _sides(m, normals[t : t + 1])[:, 0]
+            flipped = ((sides > 0) @ power)[:, None] ^ (sets @ power)[_probe_order(sides, sets)[:, :n]]
+            for row, found in zip(out, flipped.tolist()):
+                row += [f"{t}:{c}" for c in found]
+        return pd.Series(out)
+
+    return df.select("q_id", F.col("embedding").alias("qv"), F.explode(codes("embedding")).alias("list"))
+
+
 def lsh(
     questions: DataFrame,
     vectors: DataFrame,
@@ -242,15 +351,25 @@ def lsh(
     bits: int | None = None,
     tables: int = 8,
     dim: int = 64,
+    n_probe: int | None = None,
     id_col: str = "id",
 ) -> DataFrame:
-    """Approximate best ``k`` among vectors that share a random-hyperplane bucket."""
-    v = unit(vectors.select(id_col, "embedding"))
-    q = unit(questions.select("q_id", "embedding"))
-    bits = bits or code_bits(vectors.count())
+    """Approximate best ``k`` among vectors in the ``n_probe`` random-hyperplane buckets of each table nearest to a question.
+
+    A bucket is near if the bits in which it differs from the question's own have small margins. Without ``n_probe`` the
+    number is measured like that of ``ivf``. Where ``FLIPS`` bits do not reach far enough, all vectors are compared.
+    """
+    v = cut(unit(vectors.select(id_col, "embedding")))
+    q = cut(unit(questions.select("q_id", "embedding")))
+    bits = bits or code_bits(v.count())
+    normals, sets = planes(dim, bits, tables), flip_sets(bits)
+    if n_probe is None:
+        true = trials(q, v, k, id_col).select("qv", "embedding").toPandas()  # at most TRIALS * k rows
+        n_probe = enough(flip_needs(np.vstack(true["qv"]), np.vstack(true["embedding"]), normals, sets)) if len(true) else 1
+        if n_probe > len(sets):
+            return knn(q, v, k, id_col=id_col).withColumn("via", F.lit("lsh"))
     placed = cut(bucket_codes(v, id_col, dim, bits, tables))
-    probes = bucket_codes(q, "q_id", dim, bits, tables).withColumnRenamed("embedding", "qv")
-    return probe(placed, probes, k, id_col, "lsh", repeats=tables)
+    return probe(placed, probe_codes(q, normals, sets, n_probe), k, id_col, "lsh", repeats=tables)
 
 
 def mmr(hits: DataFrame, vectors: DataFrame, k: int = 5, lam: float = 0.7, pool: int | None = None, id_col: str = "chunk_id") -> DataFrame:

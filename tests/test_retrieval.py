@@ -175,3 +175,40 @@ def test_pushed_masses_rank_like_exact_ones(spark, sf):
     exact = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=None, rounds=8))
     pushed = best(retrieve.ppr_search(questions, index["edges"], index["weights"], eps=1e-5, graph=index["adjacency"]))
     assert len(exact & pushed) >= 0.95 * len(exact)
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+@pytest.mark.parametrize("how", [vectors.ivf, vectors.lsh])
+def test_measured_reach_finds_nine_of_ten(spark, how, n):
+    """Vectors without clusters, the hardest case: the reach is measured, so recall does not fall with size."""
+    m = np.random.default_rng(n).normal(size=(n, 64))
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, embedding array<double>")
+    q = v.where("id % 10 = 0").select(F.col("id").alias("q_id"), "embedding")
+    want, got = best(m, 5), ids(how(q, v, 5))
+    assert sum(len(set(want[x]) & set(got[x])) for x in got) >= 0.9 * 5 * len(got)
+    assert len(got) == n // 10
+
+
+def test_clusters_need_few_probes(spark, monkeypatch, vecs):
+    m, v = vecs
+    asked = []
+    real = vectors.probe
+    monkeypatch.setattr(vectors, "probe", lambda placed, probes, *a, **k: asked.append(probes.count()) or real(placed, probes, *a, **k))
+    vectors.ivf(v.select(F.col("id").alias("q_id"), "embedding"), v, 5)
+    assert asked[0] <= 200 * 15 / 2
+
+
+def test_flip_order_is_by_margin():
+    sets = vectors.flip_sets(4)
+    assert len(sets) == 16 and not sets[0].any()
+    order = vectors._probe_order(np.array([[0.9, -0.1, 0.5, 2.0]]), sets)[0]
+    assert [int(sets[i] @ (1 << np.arange(4))) for i in order[:4]] == [0, 2, 4, 6]
+    assert vectors.enough([1, 1, 2, 9]) == 9 and vectors.enough([1] * 95 + [7] * 5) == 1 and vectors.enough([]) == 1
+
+
+def test_searches_on_few_rows(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.1])], "id long, embedding array<double>")
+    q = v.select(F.col("id").alias("q_id"), "embedding")
+    for how in (vectors.ivf, lambda *a: vectors.lsh(*a, dim=2)):
+        assert {x[0] for x in ids(how(q.where("q_id = 1"), v, 1)).values()} == {1}
+        assert how(q.limit(0), v, 1).count() == 0
