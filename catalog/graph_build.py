@@ -12,7 +12,7 @@ SQL: dict = {}
 
 
 def typed_mentions(spark, d):
-    return gb.typed_mentions(base.chunks(spark, d))
+    return gb.typed_mentions(base.docs(spark, d))
 
 
 def gazetteer_mentions(spark, d):
@@ -63,12 +63,17 @@ for _f in (
 ):
     QUERIES[_f.__name__] = _f
 
-SQL["typed_mentions"] = with_ctes(r"""
-SELECT kind || ':' || value AS entity, kind, chunk_id, count(*) AS n FROM (
-  SELECT 'email' AS kind, chunk_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS value FROM chunks
-  UNION ALL SELECT 'url', chunk_id, lower(unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./?=&_%#-]+'))) FROM chunks
-  UNION ALL SELECT 'number', chunk_id, lower(unnest(regexp_extract_all(text, '[0-9]{6,}'))) FROM chunks)
-GROUP BY ALL""")
+SQL["typed_mentions"] = with_ctes("""
+SELECT kind || ':' || lower(m) AS entity, kind, doc_id || ':' || no AS chunk_id, count(*) AS n
+FROM begun, unnest(range(greatest(0, ceil((spot - 63) / 48.0))::BIGINT, least(spot // 48, last)::BIGINT + 1)) r(no) GROUP BY ALL""",
+r"""
+kinds(kind, rx) AS (VALUES ('email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), ('url', 'https?://[A-Za-z0-9./?=&_%#-]+'), ('number', '[0-9]{6,}')),
+ws AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM udocs),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM ws),
+spaced AS (SELECT doc_id, w, i, ceil(length(w) / 64.0)::BIGINT AS n FROM word),
+set_out AS (SELECT doc_id, w, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before, sum(n) OVER (PARTITION BY doc_id) AS pieces FROM spaced),
+hit AS (SELECT doc_id, before, pieces, w, kind, unnest(regexp_extract_all(w, rx)) AS m FROM set_out, kinds),
+begun AS (SELECT doc_id, kind, m, (before + (instr(w, m) - 1) // 64)::BIGINT AS spot, greatest(ceil((pieces - 64) / 48.0), 0)::BIGINT AS last FROM hit)""")
 SQL["gazetteer_mentions"] = with_ctes(r"""
 SELECT entity, chunk_id, count(*) AS n FROM (
   SELECT chunk_id, unnest(t) AS entity FROM chunk_toks

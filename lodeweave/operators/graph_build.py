@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import bisect
+import re
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +22,45 @@ PATTERNS = {
 }
 
 
-def typed_mentions(chunks: DataFrame, patterns: Mapping[str, str] = PATTERNS) -> DataFrame:
-    """``(entity, kind, chunk_id, n)`` for every pattern match; the entity is ``kind:match``."""
-    def matches(kind: str, pattern: str):
-        return F.transform(
-            F.regexp_extract_all("text", F.lit(pattern), F.lit(0)),
-            lambda m: F.struct(F.lit(kind).alias("kind"), F.lower(m).alias("value")),
-        )
+def typed_mentions(docs: DataFrame, patterns: Mapping[str, str] = PATTERNS, size: int = 64, stride: int = 48) -> DataFrame:
+    """``(entity, kind, chunk_id, n)`` for every pattern match in ``(doc_id, text)``; the entity is ``kind:match``.
 
-    found = F.concat(*[matches(kind, pattern) for kind, pattern in patterns.items()])
+    Patterns are matched in the whole text, so a match is found whole however long it is and wherever ``corpus.chunk`` with the same
+    ``size`` and ``stride`` cuts the text. It counts for the chunks that hold the piece it starts in. Null texts have no match.
+    """
+    rows = docs.where(F.col("text").rlike("|".join(f"(?:{p})" for p in patterns.values()))).select(F.col("doc_id").cast("string").alias("doc"), "text")
+    found = rows.mapInArrow(_matches(dict(patterns), size, stride), "doc string, no int, kind string, value string")
     return (
-        chunks.select("chunk_id", F.explode(found).alias("m"))
-        .groupBy(F.concat_ws(":", "m.kind", "m.value").alias("entity"), F.col("m.kind").alias("kind"), "chunk_id")
+        found.groupBy(
+            F.concat_ws(":", "kind", F.lower("value")).alias("entity"), "kind", F.concat_ws(":", "doc", F.col("no").cast("string")).alias("chunk_id")
+        )
         .agg(F.count("*").alias("n"))
     )
 
 
+def _matches(patterns: dict[str, str], size: int, stride: int):
+    """Rows of (document, chunk number, kind, match), text by text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [(kind, re.compile(p, re.ASCII)) for kind, p in patterns.items()]
+        piece = re.compile(r"\S{1,64}", re.ASCII)
+        for batch in batches:
+            out: list[tuple[str, int, str, str]] = []
+            for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
+                starts = [m.start() for m in piece.finditer(text)]
+                last = max(-(-(len(starts) - size) // stride), 0)
+                for kind, pattern in kinds:
+                    for m in pattern.finditer(text):
+                        at = bisect.bisect_right(starts, m.start()) - 1
+                        for no in range(max(0, -(-(at - size + 1) // stride)), min(at // stride, last) + 1):
+                            out.append((doc, no, kind, m.group()))
+            if out:
+                columns = zip(zip(*out), (pa.string(), pa.int32(), pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["doc", "no", "kind", "value"])
+
+    return run
+
+
 def link_names(pages: DataFrame) -> DataFrame:
     """A dictionary of names from the targets that pages link to."""
     href = F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1))

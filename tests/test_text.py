@@ -113,3 +113,26 @@ def test_chunk_udtf_equals_chunk(spark, sf):
 def test_cooccur_counts_chunks(spark):
     m = spark.createDataFrame([("b", "1", 1), ("a", "1", 2), ("a", "2", 1), ("b", "2", 1), ("c", "2", 1)], "entity string, chunk_id string, n long")
     assert [tuple(r) for r in graph_build.cooccur(m, 2).collect()] == [("a", "b", 2)]
+
+
+def test_long_matches_are_found_whole(spark):
+    """A URL of 300 characters over pieces and chunks, matches at the edges of chunks, and texts without any."""
+    url = "http://host.example/" + "a1-" * 94
+    filler = [f"w{i}" for i in range(200)]
+    texts = {
+        1: " ".join([*filler[:62], url, *filler[62:]]),
+        2: " ".join([*filler[:47], "x@y.org", "1234567", *filler[:80]]),
+        3: None,
+        4: "",
+        5: "((" + "z" * 70 + ":" + url + " 7654321",
+        6: "9" * 200,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["entity"], r["chunk_id"]): r["n"] for r in graph_build.typed_mentions(docs).collect()}
+    assert {c for e, c in got if e == "url:" + url} == {"1:0", "1:1", "5:0"}
+    assert {c for e, c in got if e == "email:x@y.org"} == {"2:0"} and {c for e, c in got if e == "number:1234567"} == {"2:0", "2:1"}
+    assert got["number:" + "9" * 200, "6:0"] == 1 and got["number:7654321", "5:0"] == 1
+    assert set(got.values()) == {1}
+    # the chunks named are chunks, and hold the start of their match
+    pieces = {r["chunk_id"]: r["text"] for r in corpus.chunk(docs.where("text <> ''")).collect()}
+    assert all(e.split(":", 1)[1][:20] in pieces[c].replace(" ", "") for e, c in got)
