@@ -122,3 +122,15 @@ def test_push_reads_only_the_surroundings(spark):
     graph = cut(iterate.adjacency(iterate.symmetric(spark.createDataFrame(rows, "src string, dst string, weight long"))))
     seeds = spark.createDataFrame([(1, "p0000", 1.0)], "q_id long, node string, w double")
     assert iterate.push_ppr(graph, seeds, 0.5, 1e-3).count() < 40
+
+
+@pytest.mark.parametrize("edges_per_task", [10**6, 400, 60])
+def test_triangles_by_colours(spark, edges_per_task):
+    """Any number of colours counts each triangle once; a hub meets all nodes, edges are repeated and go both ways."""
+    r = random.Random(4)
+    pairs = {tuple(sorted(r.sample(range(40), 2))) for _ in range(200)} | {(0, k) for k in range(1, 40)}
+    near = {k: {b if a == k else a for a, b in pairs if k in (a, b)} for k in range(40)}
+    rows = [(f"n{a}", f"n{b}") for a, b in pairs] + [(f"n{b}", f"n{a}") for a, b in list(pairs)[:50]] + [("n1", "n1")]
+    got = {r["node"]: (r["degree"], r["n_triangles"]) for r in graph.triangles(edges(spark, rows), edges_per_task).collect()}
+    assert got == {f"n{k}": (len(near[k]), sum(len(near[k] & near[j]) for j in near[k]) // 2) for k in near}
+    assert graph.triangles(edges(spark, rows).limit(0), edges_per_task).count() == 0
