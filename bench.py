@@ -59,7 +59,7 @@ def main() -> None:
 
     def build() -> None:
         index = base.index(spark, sf)
-        for table in ("chunks", "postings", "rarity", "stats", "norms", "mentions", "weights", "edges", "members", "terms", "reports"):
+        for table in ("chunks", "postings", "rarity", "stats", "norms", "mentions", "weights", "edges", "adjacency", "members", "terms", "reports"):
             timed(f"index_{table}", lambda t=table: index[t])
 
     build()
