@@ -164,15 +164,3 @@ def near_copies(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Da
     return prints.join(groups(prints, F.col("doc_id"), radius), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
-
-
-def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the least id (a null id comes last; on
-    equal ids the least hash of the row decides, and of equal rows one stays)."""
-    row = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").cast("long").alias("i"), F.xxhash64(*docs.columns).alias("h"))
-    rows = docs.select(row.alias("r"), F.col("text").cast("string").alias("text"))
-    prints = table(prints_of(rows, width), "fingerprints")
-    kept = groups(prints, F.col("r"), radius).select("least.*").distinct().select(F.coalesce("i", F.lit(0)).alias("_keep_i"), F.col("h").alias("_keep_h"))
-    keyed = docs.withColumns({"_keep_i": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_keep_h": F.xxhash64(*docs.columns)})
-    stay = keyed.join(table(kept, "kept"), ["_keep_i", "_keep_h"], "left_semi")
-    return stay.dropDuplicates(["_keep_i", "_keep_h"]).select(*docs.columns)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodeweave.llm import cross_parse, html_main, mixing, neighbours, pieces_bpe, quality, repeats, shards, simhash, surrogates
+from lodeweave.llm import cross_parse, html_main, mixing, neighbours, pieces_bpe, quality, repeats, shards, similar, simhash, surrogates
 from lodeweave.llm.queries import PIECES
 
 TEXTS = [None, "", " \t\n", "one", "one", "a b c " * 30, "a b c " * 30, " ".join(f"w{k}" for k in range(20_000)), "é日本 \u0000 \U0001f600 " * 25]
@@ -35,7 +35,7 @@ def test_documents(spark, name):
     assert OPERATORS[name](table(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("stage", [quality.keep_good, simhash.keep_one, surrogates.hide_rows, mixing.take])
+@pytest.mark.parametrize("stage", [quality.keep_good, similar.keep_one, surrogates.hide_rows, mixing.take])
 def test_stages_keep_clashing_columns(spark, stage):
     df = table(spark, [(k, t, "en", "s") for k, t in enumerate(TEXTS)])
     out = stage(df)

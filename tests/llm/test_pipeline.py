@@ -9,7 +9,7 @@ import sentencepiece
 import corpus_pipeline
 from lodeweave.llm import surrogates
 from lodeweave.llm.queries import _OP7, PIECES, QUALITY
-from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_similar import brute_least
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 PROSE = " ".join(f"word{k}" for k in range(60))
@@ -32,7 +32,7 @@ def brute(rows):
     # The SQL joins on the id, so places stand for ids.
     kept = {r[0] for r in sql(f"WITH q_in AS (SELECT * FROM documents), {QUALITY} SELECT doc_id FROM q_out WHERE kept", [(k, *r[1:]) for k, r in enumerate(rows)])}
     rows = [r for k, r in enumerate(rows) if k in kept]
-    least = brute_groups([(r[0], brute_print(r[1])) for r in rows])
+    least = brute_least([r[:2] for r in rows])
     rows = list({r[0]: r for r, k in zip(rows, least) if r[0] == k}.values())
     rows = [(r[0], surrogates.rewrite(r[1], surrogates.KEY, {}, {})[0], *r[2:]) for r in rows]
     times = {i: taken // size for i, size, _, _, taken in sql(_OP7, rows)}

@@ -72,14 +72,3 @@ def test_large_buckets_lose_no_link(spark):
     assert [got[simhash._signed(fp)] for _, fp in rows] == want
     # buckets of the small way give the same
     assert simhash.SMALL == 32
-
-
-def test_keep_one(spark):
-    base = " ".join(f"w{k}" for k in range(300))
-    rows = [(3, base, "x"), (2, base, "y"), (2, base, "y"), (2, base, "a"), (None, "other words here", "z"), (9, "q " * 30, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = simhash.keep_one(df)
-    assert got.columns == df.columns
-    ids = sorted((r["doc_id"] or -1) for r in got.collect())
-    assert ids == [-1, 2, 9]
-    assert simhash.keep_one(df.limit(0)).count() == 0
