@@ -8,12 +8,20 @@ pairs of a word are merged in one round, from the left and without overlap, if n
 ends with the merged one: else a merge could bring up a better pair, and the word merges only the first.
 This is the order in which the library merges, so the ids are the same.
 
+A word of more than ``LONG`` characters merges in many places a round: every pair that comes first among those
+``REACH`` places to either side. No piece is longer than a quarter of that, and a symbol that grows before
+such a pair is merged starts outside those places, so it cannot come near the pair, nor near what the pair grows to
+by better merges: merging it at once changes nothing. Of equal pairs that overlap every second one merges, as
+above. Symbols with no pair in reach are settled and leave. Where pairs must follow one another over a whole word
+(runs of spaces, whose pieces share one rank), rounds would merge a pair each; that rest takes its pairs from a queue.
+
 Only words not met before are merged: their ids are kept in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +36,13 @@ from lodeweave.llm.common import pieces
 MARK = "\u2581"
 BROKEN = "\ufffd"
 NONE = np.int64(1) << np.int64(40)
+# A symbol that was merged into the one before it; characters outside the vocabulary are below zero and above this.
+GONE = -(1 << 40)
+# Characters from which a word merges in many places a round, and the places looked at to either side of a pair (a power of two).
+LONG = 512
+REACH = 64
+# A round that merges less than this share of the symbols is followed by the queue.
+STALLED = 1 / 2048
 # Words kept with their ids in each Python worker.
 KEPT_WORDS = 400_000
 
@@ -74,6 +89,11 @@ class Model:
                     j = self.ids.get(part)
                     if j is not None and self.rank[i] <= self.rank[j]:
                         self.first_only[j] = True
+        pieces_of = np.bincount(self.rank[np.unique(self.made)], minlength=n)
+        #: pieces that come one at a time: those, and pieces that share their rank with another
+        self.alone = self.first_only | (pieces_of[self.rank] > 1)
+        if 4 * max(map(len, self.ids)) > REACH:
+            raise ValueError("a piece is longer than a quarter of REACH")
         self.bytes_of = [b"" if sp.is_control(i) else (bytes([int(text[i][3:5], 16)]) if sp.is_byte(i) else text[i].replace(MARK, " ").encode()) for i in range(n)]
         self.is_byte = np.array([sp.is_byte(i) for i in range(n)])
         self.words: dict[bytes, tuple[bytes, int, bytes]] = {}
@@ -82,8 +102,15 @@ class Model:
         """Ids of each word."""
         get = self.ids.get
         flat = np.array([get(c, -ord(c) - 1) for w in words for c in w], np.int64)
-        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        lengths = np.array([len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), lengths)
         done_ids, done_words = [], []
+        long = (lengths > LONG)[word]
+        if long.any():
+            ids, of = self._merge_long(flat[long], word[long])
+            done_ids.append(ids)
+            done_words.append(of)
+            flat, word = flat[~long], word[~long]
         while len(flat):
             a, b = flat[:-1], flat[1:]
             ok = (word[1:] == word[:-1]) & (a >= 0) & (b >= 0)
@@ -143,6 +170,112 @@ class Model:
             ids[bare] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
         return np.split(ids, np.searchsorted(word, np.arange(1, len(words))))
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, its rank) of each pair of symbols; 0 and ``NONE`` where the pair is no piece."""
+        key = np.where(same & (a >= 0) & (b >= 0), a * self.n + b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        ok = self.pair[at] == key
+        made = np.where(ok, self.made[at], 0)
+        return made, np.where(ok, self.rank[made], NONE)
+
+    def _merge_long(self, flat: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, their words) of long words, merged until no pair remains."""
+        place, done = np.arange(len(flat)), []
+        part, made, rank = self._laid_out(flat, word, place)
+        rounds = 0
+        while len(flat):
+            if rounds % 8 == 0:
+                keep = _near(rank < NONE)
+                done.append((flat[~keep], word[~keep], place[~keep]))
+                if not keep.any():
+                    break
+                cut = np.concatenate(([0], np.cumsum(np.diff(np.flatnonzero(keep)) > 1)))
+                flat, word, place, made, rank, part = (x[keep] for x in (flat, word, place, made, rank, part))
+                part = np.cumsum(np.concatenate(([0], (np.diff(part) != 0) | (np.diff(cut) != 0))))
+            rounds += 1
+            hit = self._first_in_reach(made, rank)
+            if not len(hit):
+                done.append((flat, word, place))
+                break
+            flat[hit] = made[hit]
+            keep = np.ones(len(flat), bool)
+            keep[hit + 1] = False
+            flat, word, place, made, rank, part = (x[keep] for x in (flat, word, place, made, rank, part))
+            at = hit - np.arange(len(hit))
+            at = np.unique(np.concatenate((at, np.maximum(at - 1, 0))))
+            after = np.minimum(at + 1, len(flat) - 1)
+            made[at], rank[at] = self._pairs(flat[at], flat[after], (part[at] == part[after]) & (after > at))
+            if len(hit) < STALLED * len(flat):
+                flat, word, place = self._queued(flat, word, place, made, rank, part)
+                done.append((flat, word, place))
+                break
+        flat, word, place = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place)
+        return flat[order], word[order]
+
+    def _laid_out(self, flat: np.ndarray, word: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        after = np.minimum(place + 1, len(flat) - 1)
+        made, rank = self._pairs(flat, flat[after], (word == word[after]) & (after > place))
+        return word.copy(), made, rank
+
+    def _first_in_reach(self, made: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Places of the pairs to merge in this round."""
+        n = len(rank)
+        least = np.concatenate((np.full(REACH, NONE), rank, np.full(REACH, NONE)))
+        width = 1
+        while width < REACH:
+            # least[i] is the least rank of the places i to i + 2 * width - 1
+            least[:-width] = np.minimum(least[:-width], least[width:])
+            width *= 2
+        left, right = least[:n], least[REACH + 1 : REACH + 1 + n]
+        hit = np.flatnonzero((rank < NONE) & (rank <= left) & (rank <= right))
+        if not len(hit):
+            return hit
+        one = self.alone[made[hit]]
+        # A stretch of overlapping equal pairs merges from its first one, if that is a hit.
+        new = np.concatenate(([True], np.diff(hit) > 1))
+        starts = np.flatnonzero(new)
+        whole = (hit[starts] == 0) | (rank[hit[starts] - 1] != rank[hit[starts]])
+        of = np.cumsum(new) - 1
+        nth = np.arange(len(hit)) - starts[of]
+        return hit[np.where(one, rank[hit] < left[hit], whole[of] & (nth % 2 == 0))]
+
+    def _queued(self, flat, word, place, made, rank, part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rest, pair by pair: the best rank first, of equal ones the leftmost."""
+        n = len(flat)
+        sym, of = flat.tolist(), part.tolist()
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        live = np.flatnonzero(rank < NONE)
+        # One number a pair, rank before place. An entry holds as long as the pair there has its rank.
+        queue = ((rank[live] << 40) | live).tolist()
+        heapq.heapify(queue)
+        table = dict(zip(self.pair.tolist(), self.made.tolist()))
+        ranks, many = self.rank.tolist(), self.n
+
+        def piece_at(i: int, j: int) -> int | None:
+            if i < 0 or j >= n or of[i] != of[j] or sym[i] < 0 or sym[j] < 0:
+                return None
+            return table.get(sym[i] * many + sym[j])
+
+        while queue:
+            entry = heapq.heappop(queue)
+            i = entry & ((1 << 40) - 1)
+            j = right[i]
+            piece = piece_at(i, j)
+            if piece is None or ranks[piece] != entry >> 40:
+                continue
+            sym[i], sym[j] = piece, GONE
+            right[i] = k = right[j]
+            if k < n:
+                left[k] = i
+            for x, y in ((left[i], i), (i, k)):
+                found = piece_at(x, y)
+                if found is not None:
+                    heapq.heappush(queue, (ranks[found] << 40) | x)
+        flat = np.array(sym, np.int64)
+        keep = flat != GONE
+        return flat[keep], word[keep], place[keep]
+
     def encode_words(self, words: list[bytes]) -> list[tuple[bytes, int, bytes]]:
         """(decimal ids joined by commas, number of ids, decoded bytes) of each word."""
         known = self.words
@@ -167,6 +300,12 @@ class Model:
             return _mend(raw)
 
 
+def _near(live: np.ndarray) -> np.ndarray:
+    """Places with a true one within ``REACH`` to either side."""
+    seen = np.concatenate((np.zeros(REACH + 1, np.int64), np.cumsum(live), np.full(REACH, live.sum())))
+    return seen[2 * REACH + 1 :] > seen[: len(live)]
+
+
 def _mend(raw: bytes) -> bytes:
     out, at = [], 0
     while at < len(raw):
