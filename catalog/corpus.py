@@ -83,10 +83,15 @@ cte("bands", """
     SELECT doc_id, b || '-' || array_to_string(sig[b * 4 + 1 : b * 4 + 4], '-') AS bucket
     FROM (SELECT doc_id, sig, unnest(range(0, 12)) AS b FROM sigs)""")
 
-_LEADERS = """
-led AS MATERIALIZED (SELECT DISTINCT doc_id, head FROM bands JOIN (SELECT bucket, min(doc_id) AS head FROM bands GROUP BY bucket) USING (bucket) WHERE doc_id > head),
-near AS MATERIALIZED (SELECT p.doc_id AS src, p.head AS dst FROM led p JOIN shingled a ON a.doc_id = p.doc_id JOIN shingled b ON b.doc_id = p.head
-  WHERE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.7),
+_JACCARD = "len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))"
+_LEADERS = f"""
+met AS MATERIALIZED (SELECT doc_id, bucket, head, n FROM bands JOIN (SELECT bucket, min(doc_id) AS head, count(*) AS n FROM bands GROUP BY bucket) USING (bucket) WHERE n > 1),
+led AS MATERIALIZED (SELECT p.doc_id, p.head, {_JACCARD} AS j FROM (SELECT DISTINCT doc_id, head FROM met WHERE doc_id > head) p
+  JOIN shingled a ON a.doc_id = p.doc_id JOIN shingled b ON b.doc_id = p.head),
+mixed AS (SELECT DISTINCT bucket FROM met SEMI JOIN (SELECT * FROM led WHERE j < 0.7) f ON f.doc_id = met.doc_id AND f.head = met.head WHERE n > 2),
+rest AS MATERIALIZED (SELECT * FROM shingled WHERE doc_id IN (SELECT doc_id FROM met JOIN mixed USING (bucket))),
+near AS MATERIALIZED (SELECT doc_id AS src, head AS dst FROM led WHERE j >= 0.7 UNION
+  SELECT a.doc_id, b.doc_id FROM rest a JOIN rest b ON a.doc_id > b.doc_id AND 10 * least(len(a.s), len(b.s)) >= 7 * greatest(len(a.s), len(b.s)) WHERE {_JACCARD} >= 0.7),
 near_both AS MATERIALIZED (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
 near_nodes AS MATERIALIZED (SELECT doc_id AS node FROM udocs)"""
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from lodeweave.functions import text as tx
 from lodeweave.operators.iterate import components
+from lodeweave.operators.skew import hot_keys, salted_join
 from lodeweave.session import cut
 
 # Fixed value: the modulus of the min-hash family, the least prime above 2^32.
@@ -79,14 +80,9 @@ def minhash(hashes: Column, k: int) -> Column:
     return tx.let(hashes, lambda h: F.array(*[one(h, a, b) for a, b in hash_family(k)]))
 
 
-def near_edges(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
-    """Edges from near copies to a leader of their buckets.
-
-    In each band bucket the least document leads, and every other member is compared with it once, so a
-    document meets at most ``bands`` leaders and the work is linear in the documents whatever the size of a
-    bucket. Members that are near to each other and to none of their leaders are not linked by that bucket;
-    with many bands a pair has many leaders in common or leads itself.
-    """
+def _met(docs: DataFrame, k: int, bands: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, s)``, the shingles of each text, and ``(doc_id, bucket, head, n)``, the members of each band bucket of
+    two or more with the least of them, the leader, and their number."""
     if k % bands:
         raise ValueError("k must be a multiple of bands")
     rows = k // bands
@@ -98,31 +94,104 @@ def near_edges(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float
         lambda b: F.concat_ws("-", b.cast("string"), F.slice(F.col("sig"), b * rows + 1, rows).cast("array<string>")),
     )
     members = sigs.select("doc_id", F.explode(buckets).alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = cut(members.join(heads, "bucket").where("doc_id > head").select("doc_id", "head").distinct())
+    heads = members.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return sets, cut(members.join(heads, "bucket"))
+
+
+def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` of ``(doc_id, head)`` with ``j``, the Jaccard similarity of their sets."""
     # Only sets of documents that are compared move. Spark sizes an array as one element and might
     # broadcast the sets by mistake: they are merged.
     met = pairs.select("doc_id").union(pairs.select("head")).distinct()
-    sets = sets.join(met, "doc_id", "left_semi")
+    sets = sets.select("doc_id", "s").join(met, "doc_id", "left_semi")
     shared = F.size(F.array_intersect("s", "hs"))
     return (
         pairs.join(sets.hint("merge"), "doc_id")
         .join(sets.select(F.col("doc_id").alias("head"), F.col("s").alias("hs")).hint("merge"), "head")
-        .where(shared / (F.size("s") + F.size("hs") - shared) >= min_jaccard)
-        .select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
+        .select("doc_id", "head", (shared / (F.size("s") + F.size("hs") - shared)).alias("j"))
     )
 
 
+def _led(sets: DataFrame, members: DataFrame) -> DataFrame:
+    return _jaccard(cut(members.where("doc_id > head").select("doc_id", "head").distinct()), sets)
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("doc_id").alias("src"), F.col("head").alias("dst"))
+
+
+def near_edges(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
+    """Edges from near copies to a leader of their buckets.
+
+    In each band bucket the least document leads, and every other member is compared with it once, so a
+    document meets at most ``bands`` leaders and the work is linear in the documents whatever the size of a
+    bucket. Members that are near to each other and to none of their leaders are not linked here; ``near_clusters``
+    finds them with ``similar_pairs``.
+    """
+    return _edges(_led(*_met(docs, k, bands, width)).where(F.col("j") >= min_jaccard))
+
+
+def similar_pairs(sets: DataFrame, min_jaccard: float, rows_per_task: int = 4096) -> DataFrame:
+    """``(doc_id, head, j)`` of all pairs of ``sets`` (``doc_id``, ``part``, ``s``) of different parts whose Jaccard similarity
+    is ``min_jaccard`` or more; ``doc_id`` is the greater id.
+
+    Elements are ordered from the rarest on. Two such sets share an element among the first ``n - min_jaccard * n + 1``
+    of each, so only these meet (Chaudhuri, Ganti and Kaushik 2006), and only where sizes and the places of the
+    element leave enough to share (Xiao et al. 2008). Elements that one part alone holds are not listed, so a group of
+    copies with one label meets nobody in its own elements. A list over ``rows_per_task`` is split.
+    """
+    tokens = sets.select("doc_id", "part", F.size("s").alias("n"), F.explode("s").alias("g"))
+    held = tokens.groupBy("g").agg(F.count("*").alias("c"), (F.min("part") != F.max("part")).alias("open")).where("c > 1")
+    # Elements of one set alone come first; they are counted and not listed.
+    ranked = tokens.join(held, "g").groupBy("doc_id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("c", "g", "open"))).alias("r"))
+    least = F.lit(min_jaccard)
+    first = F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1
+    alone = F.col("n") - F.size("r")
+    lists = cut(
+        ranked.select("doc_id", "part", "n", alone.alias("alone"), F.posexplode(F.slice("r", 1, F.greatest(first - alone, F.lit(0)))).alias("k", "x"))
+        .where("x.open")
+        .select("doc_id", "part", "n", (F.col("alone") + F.col("k")).alias("pos"), F.col("x.g").alias("g"))
+    )
+    hot = cut(hot_keys(lists.groupBy("g").agg(F.count("*").alias("m")), "g", "m", rows_per_task))
+    other = lists.select("g", *[F.col(c).alias(f"o_{c}") for c in ("doc_id", "part", "n", "pos")])
+    needed = F.ceil(least / (1 + least) * (F.col("n") + F.col("o_n")) - 1e-9)
+    left = F.least(F.col("n") - F.col("pos"), F.col("o_n") - F.col("o_pos"))
+    met = salted_join(lists, other, "g", hot, F.xxhash64("doc_id")).where(
+        (F.col("doc_id") > F.col("o_doc_id")) & (F.col("part") != F.col("o_part"))
+        & (F.least("n", "o_n") >= least * F.greatest("n", "o_n") - 1e-9) & (left >= needed)
+    )
+    pairs = cut(met.select("doc_id", F.col("o_doc_id").alias("head")).distinct())
+    return _jaccard(pairs, sets).where(F.col("j") >= min_jaccard)
+
+
 def near_clusters(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:
     """``(doc_id, cluster)`` with the least id of each group of near copies.
 
-    Exact copies go first (``dedup``); they carry no extra information here.
+    Exact copies go first (``dedup``); they carry no extra information here. Members of a bucket are compared with
+    its leader. A bucket where one is not near to it, and that has others, is mixed; all documents of mixed buckets that
+    are not in one cluster by then meet in ``similar_pairs``. So two near texts that share a bucket are in one cluster.
     """
     unique = dedup(docs)
-    found = components(near_edges(unique, k, bands, min_jaccard, width))
-    return unique.select("doc_id").join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select("doc_id", F.coalesce("component", "doc_id").alias("cluster"))
+    sets, members = _met(unique, k, bands, width)
+    led = cut(_led(sets, members))
+    found = components(_edges(led.where(F.col("j") >= min_jaccard)))
+    labels = cut(
+        unique.select("doc_id")
+        .join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        .select("doc_id", F.coalesce("component", "doc_id").alias("part"))
+    )
+    mixed = members.where("n > 2").join(led.where(F.col("j") < min_jaccard), ["doc_id", "head"], "left_semi").select("bucket").distinct()
+    rest = members.where("n > 2").join(mixed, "bucket", "left_semi").select("doc_id").distinct()
+    rest = cut(sets.join(rest, "doc_id", "left_semi").hint("merge").join(labels, "doc_id"))
+    links = cut(similar_pairs(rest, min_jaccard).select("doc_id", "head"))
+    if links.isEmpty():
+        return labels.withColumnRenamed("part", "cluster")
+    # Clusters joined by a link: the labels are the nodes.
+    ends = links.join(labels, "doc_id").select(F.col("part").alias("src"), F.col("head").alias("doc_id"))
+    joined = components(ends.join(labels, "doc_id").select("src", F.col("part").alias("dst")).distinct())
+    return labels.join(joined.select(F.col("node").alias("part"), "component"), "part", "left").select(
+        "doc_id", F.coalesce("component", "part").alias("cluster")
+    )
 
 
 def near_dedup(docs: DataFrame, k: int = 48, bands: int = 12, min_jaccard: float = 0.7, width: int = 3) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.operators import corpus, graph_build
@@ -76,6 +77,58 @@ def test_recall_on_planted_copies(spark):
     assert found[0.7] >= 0.85 and found[0.8] >= 0.95 and found[0.9] == 1
 
 
+def sets_of(rng, n, common):
+    """Sets of three kinds: fresh ones, ones on a common stock, and near copies of earlier ones."""
+    out = []
+    for i in range(n):
+        kind = rng.random()
+        if out and kind < 0.4:
+            s = set(rng.choice(out)) ^ {rng.choice(common) for _ in range(rng.randint(0, 12))}
+        elif kind < 0.8:
+            s = set(rng.sample(common, 40)) | {1000 * i + k for k in range(10_000, 10_000 + rng.randint(0, 15))}
+        else:
+            s = {1000 * i + k for k in range(10_000, 10_000 + rng.randint(1, 40))}
+        out.append(s or {1})
+    return out
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.9])
+def test_similar_pairs_equal_brute_force(spark, least):
+    rng = random.Random(8)
+    sets = sets_of(rng, 160, list(range(50)))
+    part = [rng.choice([i, i % 5]) for i in range(len(sets))]
+    df = spark.createDataFrame([(i, part[i], sorted(s)) for i, s in enumerate(sets)], "doc_id long, part long, s array<bigint>")
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if part[a] != part[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+    for rows_per_task in (4096, 20):
+        got = [(r["doc_id"], r["head"]) for r in corpus.similar_pairs(df, least, rows_per_task).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    assert corpus.similar_pairs(df.limit(0), least).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.7, 0.84, 0.9])
+def test_copies_behind_a_template_are_found(spark, share):
+    """150 documents of one template, none near another, lead the buckets of the pairs behind them."""
+    rng = random.Random(9)
+    fresh = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    stock = [fresh() for _ in range(100)]
+    texts = [" ".join(stock + [fresh() for _ in range(25)]) for _ in range(150)]
+    pairs = []
+    for _ in range(12):
+        base = stock + [fresh() for _ in range(25)]
+        changed = list(base)
+        n = int(123 * (1 - share) / (1 + share)) - 2
+        changed[100 : 100 + n] = [fresh() for _ in range(n)]
+        pairs.append(len(texts))
+        texts += [" ".join(base), " ".join(changed)]
+    d = docs(spark, texts)
+    sets = {r[0]: set(r[1]) for r in d.select("doc_id", corpus.shingle_hashes(F.col("text"), 3)).collect()}
+    assert all(share <= len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in pairs)
+    assert max(len(sets[k] & sets[i]) / len(sets[k] | sets[i]) for k in pairs for i in range(150)) < 0.7
+    cluster = {r["doc_id"]: r["cluster"] for r in corpus.near_clusters(d).collect()}
+    assert all(cluster[k] == cluster[k + 1] == k for k in pairs)
+    assert all(cluster[i] == i for i in range(150))
+
+
 def test_frequent_terms_stay_entities(spark):
     d = docs(spark, [f"common thing number{chr(97 + k)}" for k in range(26)])
     band = {r["entity"]: r["df"] for r in graph_build.entity_band(d).collect()}
