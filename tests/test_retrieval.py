@@ -212,3 +212,12 @@ def test_searches_on_few_rows(spark):
     for how in (vectors.ivf, lambda *a: vectors.lsh(*a, dim=2)):
         assert {x[0] for x in ids(how(q.where("q_id = 1"), v, 1)).values()} == {1}
         assert how(q.limit(0), v, 1).count() == 0
+
+
+def test_graph_search_reads_exact_masses(spark, sf):
+    """The registered search takes three rounds over the whole graph, not pushed masses."""
+    i = base.index(spark, sf)
+    got = {tuple(r) for r in catalog.QUERIES["ppr_graph_search"](spark, sf).select("q_id", "chunk_id", "score", "rank").collect()}
+    exact = retrieve.ppr_search(base.questions(spark, sf), i["edges"], i["weights"], eps=None)
+    assert got == {tuple(r) for r in exact.select("q_id", "chunk_id", "score", "rank").collect()}
+    assert "pushed" not in catalog.SQL["ppr_graph_search"]
