@@ -34,12 +34,14 @@ def entity_resolve(spark, d):
 
 
 def cooccurrence_edges(spark, d):
-    return gb.cooccur(base.index(spark, d)["mentions"])
+    i = base.index(spark, d)
+    return gb.cooccur(i["mentions"], ids=i["names"])
 
 
 def pmi_edges(spark, d):
-    m = base.index(spark, d)["mentions"]
-    out = gb.pmi(gb.cooccur(m), m, base.chunks(spark, d))
+    m, ids = base.index(spark, d)["mentions"], base.index(spark, d)["names"]
+    of = m.join(ids, "entity").select(F.col("id").alias("entity"), "chunk_id")
+    out = gb.with_names(gb.pmi(gb.id_pairs(m, ids), of, base.chunks(spark, d)), ids, "src", "dst")
     return out.withColumn("pmi", F.round("pmi", 6))
 
 

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.operators import graph, iterate
+from catalog import base
+from lodeweave.operators import graph, graph_build, iterate
 from lodeweave.session import cut
 
 CLIQUES = [(a, b) for g in ("abcd", "efgh") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "e")]
@@ -134,3 +135,42 @@ def test_triangles_by_colours(spark, edges_per_task):
     got = {r["node"]: (r["degree"], r["n_triangles"]) for r in graph.triangles(edges(spark, rows), edges_per_task).collect()}
     assert got == {f"n{k}": (len(near[k]), sum(len(near[k] & near[j]) for j in near[k]) // 2) for k in near}
     assert graph.triangles(edges(spark, rows).limit(0), edges_per_task).count() == 0
+
+
+def test_pairs_are_counted_from_lists_of_ids(spark):
+    """Ids follow the names, and counts go on over the batches of a frequent entity."""
+    r = random.Random(7)
+    rows = [(f"e{e:02d}", str(c), 1) for c in range(120) for e in {0, *r.sample(range(30), 6)}]
+    m = spark.createDataFrame(rows, "entity string, chunk_id string, n long")
+    ids = cut(graph_build.numbered(m))
+    assert [x["entity"] for x in ids.orderBy("id").collect()] == sorted({x[0] for x in rows})
+    held = {}
+    for e, c, _ in rows:
+        held.setdefault(c, set()).add(e)
+    want = {}
+    for es in held.values():
+        for a in es:
+            for b in es:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        got = {(x["src"], x["dst"]): x["weight"] for x in graph_build.cooccur(m, 3, ids).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: n for k, n in want.items() if n >= 3}
+    assert graph_build.cooccur(m.limit(0)).count() == 0
+
+
+def test_votes_are_summed_where_the_links_lie(spark, sf, monkeypatch):
+    """No round of label propagation over the index's links shuffles them."""
+    plans, links = [], base.index(spark, sf)["links"]
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(iterate, "cut", noted)
+    iterate.communities(links, 2)
+    rounds = [p for p in plans if "community" in p and "hashpartitioning(src" not in p and "hashpartitioning(dst" not in p]
+    assert len(rounds) == len(plans) == 3
