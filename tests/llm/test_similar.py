@@ -89,6 +89,23 @@ def test_large_buckets(spark, large):
     assert len(got) - len(want) <= 2
 
 
+def test_any_two_prints_of_a_large_bucket_meet(spark):
+    """Cut into blocks or not, the same pairs of prints share a bucket, and none is over twice the bound."""
+    how, rng = similar.Plan(20, 1, 2, 35), random.Random(8)
+    rows = sorted({(rng.choice((0, 5, 77)) | 1 << rng.randrange(20) | 1 << rng.randrange(20, 40), rng.getrandbits(60)) for _ in range(150)})
+    units = spark.createDataFrame(rows, "w0 long, w1 long")
+
+    def meetings(large):
+        held = {}
+        for r in similar.buckets(units, how, large).collect():
+            held.setdefault(r["name"], []).append((r["w0"], r["w1"]))
+        return {tuple(sorted(p)) for b in held.values() for p in combinations(b, 2)}, max(len(b) for b in held.values())
+
+    whole, most = meetings(10**6)
+    cut, bounded = meetings(16)
+    assert cut == whole and most > 32 >= bounded
+
+
 def test_plan_reaches_recall_at_every_size():
     for n in (0, 1, 1000, 10**6, 10**8, 10**10):
         how = similar.plan(n)
