@@ -174,3 +174,37 @@ def test_votes_are_summed_where_the_links_lie(spark, sf, monkeypatch):
     iterate.communities(links, 2)
     rounds = [p for p in plans if "community" in p and "hashpartitioning(src" not in p and "hashpartitioning(dst" not in p]
     assert len(rounds) == len(plans) == 3
+
+
+def test_questions_walk_as_bits_of_a_mask(spark, monkeypatch):
+    """More questions than a mask has bits; no round holds a row for each question and node."""
+    n, r = 150, random.Random(9)
+    e = _random_graph(spark, 40, 60, 2)
+    seeds = [(q * 3 - 200, f"n{r.randrange(1, 40)}") for q in range(n) for _ in range(2)]
+    near = {}
+    for row in e.collect():
+        near.setdefault(row["src"], set()).add(row["dst"])
+    want = {}
+    for q, node in seeds:
+        want[q, node] = 0
+    for hop in (1, 2):
+        for (q, node), h in list(want.items()):
+            if h == hop - 1:
+                for x in near[node]:
+                    want.setdefault((q, x), hop)
+    rows = []
+
+    def noted(df):
+        out = cut(df)
+        rows.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(iterate, "cut", noted)
+    df = spark.createDataFrame(seeds, "q_id long, node string")
+    found = iterate.k_hop(e, df, 2)
+    assert {(x["q_id"], x["node"]): x["hop"] for x in found.collect()} == want
+    assert all(count <= 40 * 3 for columns, count in rows if "node" in columns)
+    inside = iterate.k_hop(e, df, 1)
+    held = {(x["q_id"], x["node"]) for x in inside.collect()}
+    got = sorted((x["q_id"], x["src"], x["dst"]) for x in graph.subgraph(e, inside).collect())
+    assert got == sorted((q, a, b) for q, a in held for b in near[a] if (q, b) in held)
