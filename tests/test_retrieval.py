@@ -221,3 +221,41 @@ def test_graph_search_reads_exact_masses(spark, sf):
     exact = retrieve.ppr_search(base.questions(spark, sf), i["edges"], i["weights"], eps=None)
     assert got == {tuple(r) for r in exact.select("q_id", "chunk_id", "score", "rank").collect()}
     assert "pushed" not in catalog.SQL["ppr_graph_search"]
+
+
+def shuffled_rows(spark):
+    gateway = spark.sparkContext._gateway
+    store, none = spark._jsc.sc().statusStore(), gateway.jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none).iterator()
+    total = 0
+    while stages.hasNext():
+        total += stages.next().shuffleWriteRecords()
+    return total
+
+
+@pytest.mark.parametrize("how", [vectors.knn, vectors.ivf, vectors.lsh])
+def test_a_search_sends_blocks_and_not_pairs(spark, how):
+    """A vector is sent once a block of questions, a question once a block of vectors, besides the best of each meeting."""
+    n = 1200
+    m = np.random.default_rng(5).normal(size=(n, 64))
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id long, embedding array<double>")
+    before = shuffled_rows(spark)
+    assert how(v.select(F.col("id").alias("q_id"), "embedding"), v, 5).count() == 5 * n
+    assert shuffled_rows(spark) - before < 60 * n
+
+
+def test_marked_flips_are_the_first_of_their_order():
+    sides = np.vstack((np.random.default_rng(2).normal(size=(40, 6)), np.zeros((1, 6))))
+    sets = vectors.flip_sets(6)
+    for n in (1, 7, 30, len(sets) + 1):
+        order = vectors._probe_order(sides, sets)[:, :n]
+        assert all(set(np.flatnonzero(row)) == set(o) for row, o in zip(vectors._nearest_sets(sides, sets, n), order))
+
+
+def test_copies_are_ranked_by_id_across_blocks(spark):
+    v = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(60)], "id long, embedding array<double>")
+    q = v.where("id < 2").select(F.col("id").alias("q_id"), "embedding")
+    got = ids(vectors.knn(q, v, 3, exclude_self=True, rows_per_task=7))
+    assert got == {0: [2, 4, 6], 1: [3, 5, 7]}
+    holes = v.union(spark.createDataFrame([(60, None), (61, [None, 1.0])], v.schema))
+    assert ids(vectors.knn(q, holes, 3, exclude_self=True)) == got
