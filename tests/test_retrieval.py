@@ -259,3 +259,23 @@ def test_copies_are_ranked_by_id_across_blocks(spark):
     assert got == {0: [2, 4, 6], 1: [3, 5, 7]}
     holes = v.union(spark.createDataFrame([(60, None), (61, [None, 1.0])], v.schema))
     assert ids(vectors.knn(q, holes, 3, exclude_self=True)) == got
+
+
+@pytest.mark.parametrize("name", ["bm25", "tfidf"])
+def test_scores_in_blocks_equal_joined_ones(spark, sf, name):
+    """No pair of question and chunk is a row of the plan unless the weights of the batch are too many to hold."""
+    i, q = base.index(spark, sf), base.questions(spark, sf)
+    how = getattr(retrieve, name)
+    more = {"norms": i["norms"]} if name == "tfidf" else {}
+    blocks = how(q, i["postings"], i["stats"], 5, rarity=i["rarity"], **more)
+    joined = how(q, i["postings"], i["stats"], 5, rarity=i["rarity"], cells=0, rows_per_task=20, **more)
+    assert sorted(blocks.collect()) == sorted(joined.collect()) and not blocks.isEmpty()
+    assert "q_id" not in blocks._jdf.queryExecution().analyzed().toString().split("MapInArrow")[-1].split("Aggregate", 1)[-1]
+
+
+def test_buckets_grow_with_the_chunks(spark, sf, monkeypatch):
+    from lodeweave.plans import build
+
+    monkeypatch.setattr(build, "BUCKET_CHUNKS", 50)
+    index = Index(spark, readers.read_documents(spark, sf))
+    assert index.buckets == max(4, -(-index["chunks"].count() // 50)) > 4
