@@ -279,3 +279,9 @@ def test_buckets_grow_with_the_chunks(spark, sf, monkeypatch):
     monkeypatch.setattr(build, "BUCKET_CHUNKS", 50)
     index = Index(spark, readers.read_documents(spark, sf))
     assert index.buckets == max(4, -(-index["chunks"].count() // 50)) > 4
+
+
+def test_postings_count_the_terms_of_a_chunk(spark):
+    few = spark.createDataFrame([("a", "b a b, c b"), ("e", "1 2"), ("z", "ä Ä x")], "chunk_id string, text string")
+    got = {(r["chunk_id"], r["term"], r["tf"], r["dl"]) for r in retrieve.postings(few).collect()}
+    assert got == {("a", "a", 1, 5), ("a", "b", 3, 5), ("a", "c", 1, 5), ("z", "ä", 2, 3), ("z", "x", 1, 3)}
