@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.operators import corpus, graph_build, retrieve
+from lodeweave.operators.iterate import numbered
 from lodeweave.session import cut, discard, new_path
 from lodeweave.streaming.run import run_batches
 
@@ -15,7 +16,8 @@ TABLES = {
     "postings": "term string, chunk_id string, tf bigint, dl int, batch bigint",
     "terms": "entity string, df bigint, batch bigint",
     "mentions": "entity string, chunk_id string, n bigint, batch bigint",
-    "pairs": "src string, dst string, n bigint, batch bigint",
+    "entities": "entity string, id int, batch bigint",
+    "pairs": "src int, dst int, weight bigint, batch bigint",
 }
 
 
@@ -30,7 +32,7 @@ class StreamIndex:
 
     A term becomes an entity with the batch that brings it to ``df_lo`` documents. That batch stores its earlier
     mentions too, and the pairs they make in their chunks, so the mentions and edges of all batches together
-    are those of an index built at once.
+    are those of an index built at once. It gets its id, after those of earlier batches, with that batch too; pairs are stored by ids.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, df_lo: int = 5):
@@ -72,9 +74,14 @@ class StreamIndex:
         found = graph_build.entities_in(post.where(F.col("batch") == batch), band)
         late = graph_build.entities_in(post.where(F.col("batch") < batch), band.where("grown"))
         self._write(found.unionByName(late), "mentions", batch)
+        known = self.entities().where(F.col("batch") < batch).agg(F.max("id")).first()[0]
+        fresh = numbered(band.where("grown")).withColumn("id", F.col("id") + F.lit(0 if known is None else known + 1))
+        self._write(fresh, "entities", batch)
         seen = self.mentions().where(F.col("batch") <= batch).withColumn("new", F.col("batch") == batch)
-        touched = seen.where("new").select("chunk_id").distinct()
-        self._write(graph_build.new_pairs(seen.join(touched, "chunk_id", "left_semi")), "pairs", batch)
+        if known is not None:
+            seen = seen.join(seen.where("new").select("chunk_id").distinct(), "chunk_id", "left_semi")
+        ids = self.entities().where(F.col("batch") <= batch).select("entity", "id")
+        self._write(graph_build.new_pairs(seen, ids), "pairs", batch)
         discard(band)
 
     def chunks(self) -> DataFrame:
@@ -86,10 +93,20 @@ class StreamIndex:
     def mentions(self) -> DataFrame:
         return self._stored("mentions")
 
+    def entities(self) -> DataFrame:
+        """``(entity, id)`` with the batch that brought it."""
+        return self._stored("entities")
+
     def edges(self, min_count: int = 2) -> DataFrame:
         """``(src, dst, weight)`` with src < dst, as ``graph_build.cooccur`` gives them."""
-        sums = self._stored("pairs").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
-        return sums.where(F.col("weight") >= min_count)
+        pairs = self._stored("pairs")
+        # The pairs of one batch are counted already.
+        if pairs.select("batch").distinct().count() > 1:
+            pairs = pairs.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+        rows = pairs.where(F.col("weight") >= min_count).select("src", "dst", "weight")
+        named = graph_build.with_names(rows, self.entities().select("entity", "id"), "src", "dst")
+        # Ids follow the names inside a batch only.
+        return named.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight")
 
     def ingest(self, stream: DataFrame, log: str | None = None) -> "StreamIndex":
         run_batches(stream, self.add, "ingest", log=log)

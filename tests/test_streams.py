@@ -39,6 +39,19 @@ def test_ingest_in_parts_equals_batch(spark, sf):
     assert sorted(index.edges().collect()) == edges
 
 
+def test_pairs_are_stored_by_ids_that_stay(spark):
+    index = ingest.StreamIndex(spark, df_lo=2)
+    parts = [[(1, "zebra apple"), (2, "zebra apple mango")], [(3, "mango zebra"), (4, "aaaaa apple"), (5, "aaaaa")]]
+    for batch, rows in enumerate(parts):
+        index.add(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], readers.DOCUMENTS), batch)
+    assert {t for _, t in index._stored("pairs").dtypes[:2]} == {"int"}
+    # Names of the second batch come before those of the first, their ids after.
+    ids = {r["entity"]: r["id"] for r in index.entities().collect()}
+    assert ids == {"apple": 0, "zebra": 1, "aaaaa": 2, "mango": 3}
+    want = [("aaaaa", "apple", 1), ("apple", "mango", 1), ("apple", "zebra", 2), ("mango", "zebra", 2)]
+    assert sorted(tuple(r) for r in index.edges(1).collect()) == want
+
+
 def test_late_and_repeated_events(spark):
     path = new_path(spark, "events")
     write_events(spark, path, [(1, 0, 1, "view"), (1, 0, 1, "view"), (2, 30, 1, "view"), (3, 600, 1, "view")])
