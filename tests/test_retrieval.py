@@ -361,3 +361,22 @@ def test_pattern_copies_no_binding_that_a_later_one_drops(spark):
     assert len(rows) == 400 and {(r["n"], r["c"], r["p"], r["s"]) for r in rows} == {("n:0", "c:0", "p:0", "s:0")}
     doubled = graph.match(triples.union(triples), asked)
     assert sorted(map(tuple, doubled.select("o", "s").collect())) == sorted((r["o"], r["s"]) for r in rows)
+
+
+def test_hash_embed_takes_postings_and_its_tasks_grow_with_the_rows(spark):
+    words = ["apple", "pear", "plum", "fig"]
+    texts = spark.createDataFrame([(f"{i}:0", " ".join(words[: 1 + i % 4] * (1 + i % 3))) for i in range(40)], "chunk_id string, text string")
+    post = retrieve.postings(texts)
+    rarity = post.groupBy("term").agg(F.count("*").alias("df"))
+    few, many = (retrieve.hash_embed(texts, rarity, F.lit(40), rows_per_task=n) for n in (10**6, 64))
+    got = {r["chunk_id"]: [round(x, 9) for x in r["embedding"]] for r in many.collect()}
+    assert len(got) == 40 and got == {r["chunk_id"]: [round(x, 9) for x in r["embedding"]] for r in few.collect()}
+    assert got == {r["chunk_id"]: [round(x, 9) for x in r["embedding"]] for r in retrieve.hash_embed(post, rarity, F.lit(40)).collect()}
+    # A row has at most 64 sums, so 64 of them are one row a task.
+    assert many.rdd.getNumPartitions() == 40 and few.rdd.getNumPartitions() == 4
+
+
+def test_postings_of_null_and_empty_texts(spark):
+    rows = spark.createDataFrame([(1, "B a b"), (2, None), (3, "1 2"), (4, "ä")], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in retrieve.postings(rows, "doc_id").collect())
+    assert got == [("a", 1, 1, 3), ("b", 1, 2, 3), ("ä", 4, 1, 1)]
