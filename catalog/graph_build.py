@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from catalog import base
 from catalog.base import min_labels, settled, with_ctes
 from lodeweave.operators import graph_build as gb
+from lodeweave.operators import retrieve
 from lodeweave.sources import readers
 
 QUERIES: dict = {}
@@ -30,7 +31,10 @@ def entity_normalize(spark, d):
 
 
 def entity_resolve(spark, d):
-    return gb.resolve(base.index(spark, d)["mentions"])
+    # The names of the mentions: entities that are terms of chunks.
+    i = base.index(spark, d)
+    seen = retrieve.term_rarity(i["chunks"]).select(F.col("term").alias("entity"))
+    return gb.resolve(gb.entity_band(i.docs).join(seen, "entity", "left_semi"))
 
 
 def cooccurrence_edges(spark, d):

@@ -189,3 +189,14 @@ def test_long_matches_are_found_whole(spark):
     # the chunks named are chunks, and hold the start of their match
     pieces = {r["chunk_id"]: r["text"] for r in corpus.chunk(docs.where("text <> ''")).collect()}
     assert all(e.split(":", 1)[1][:20] in pieces[c].replace(" ", "") for e, c in got)
+
+
+def test_entity_resolve_needs_no_table_of_mentions(spark, sf, monkeypatch):
+    import catalog
+    from catalog import base
+
+    monkeypatch.setattr(base, "_INDEXES", {})
+    got = {r["entity"] for r in catalog.QUERIES["entity_resolve"](spark, sf).collect()}
+    index = base.index(spark, sf)
+    assert not {"mentions", "postings"} & set(index._built)
+    assert got == {r["entity"] for r in index["mentions"].select("entity").distinct().collect()}
