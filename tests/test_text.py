@@ -200,3 +200,12 @@ def test_entity_resolve_needs_no_table_of_mentions(spark, sf, monkeypatch):
     index = base.index(spark, sf)
     assert not {"mentions", "postings"} & set(index._built)
     assert got == {r["entity"] for r in index["mentions"].select("entity").distinct().collect()}
+
+
+def test_gazetteer_mentions_of_a_held_dictionary_are_not_shuffled(spark):
+    chunks = spark.createDataFrame([("1:0", "Red hot red hot tin"), ("2:0", "hot tin"), ("3:0", None)], "chunk_id string, text string")
+    names = spark.createDataFrame([("red-hot",), ("tin",), ("blue",)], "name string")
+    held, met = graph_build.gazetteer_mentions(chunks, names), graph_build.gazetteer_mentions(chunks, names, 0)
+    want = [("red hot", "1:0", 2), ("tin", "1:0", 1), ("tin", "2:0", 1)]
+    assert sorted(tuple(r) for r in held.collect()) == sorted(tuple(r) for r in met.collect()) == want
+    assert "Exchange hashpartitioning" not in held._jdf.queryExecution().executedPlan().toString()
