@@ -31,7 +31,7 @@ def search(name: str, questions: DataFrame, index: Index, k: int, embedded: Data
     if name == "local":
         return retrieve.local_search(questions, index["links"], index["weights"], k, ids=index["names"])
     if name == "ppr":
-        return retrieve.ppr_search(questions, index["links"], index["weights"], k, graph=index["lists"], ids=index["names"])
+        return retrieve.ppr_search(questions, index["links"], index["weights"], k, graph=index["near"], ids=index["names"])
     if embedded is None:
         embedded = retrieve.hash_embed(questions, index["rarity"], index["stats"].select("n").scalar(), "q_id")
     mine = embedded.join(questions.select("q_id"), "q_id", "left_semi")
